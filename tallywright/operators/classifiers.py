@@ -23,7 +23,9 @@ from .metrics import class_report, confusion, macro_scores
 
 # Hashing keeps every term and bounds the model; a fitted vocabulary would have to fit the driver.
 MIN_FEATURES = 1 << 12
-MAX_FEATURES = 1 << 20
+MAX_FEATURES = 1 << 18
+TOLERANCE = 1e-4
+ROWS_PER_TASK = 2_000
 EMBEDDING_BUCKETS = 1 << 16
 
 
@@ -65,9 +67,17 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
 
 
 def feature_count(df: DataFrame, terms: str) -> int:
-    """Hash buckets for the terms of a frame: about four per distinct term, as a power of two."""
+    """Hash buckets for the terms of a frame: the power of two above the distinct terms, within bounds."""
     distinct = df.select(F.explode(terms).alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-    return min(max(1 << (4 * distinct).bit_length(), MIN_FEATURES), MAX_FEATURES)
+    return min(max(1 << distinct.bit_length(), MIN_FEATURES), MAX_FEATURES)
+
+
+def training_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """Cache the rows an optimiser passes over many times, in no more tasks than they are worth."""
+    data = df.cache()
+    n_rows = data.count()
+    packed = data.coalesce(max(1, n_rows // ROWS_PER_TASK))
+    return packed, n_rows
 
 
 def feature_stages(terms: str, num_features: int) -> list:
@@ -78,7 +88,7 @@ def feature_stages(terms: str, num_features: int) -> list:
     ]
 
 
-def logistic_regression(c: float, n_rows: int, max_iter: int = 100) -> LogisticRegression:
+def logistic_regression(c: float, n_rows: int, max_iter: int = 40) -> LogisticRegression:
     """Penalised as C is meant elsewhere: the loss is summed, so regParam = 1 / (C * rows)."""
     return LogisticRegression(
         labelCol="label_code",
@@ -87,18 +97,18 @@ def logistic_regression(c: float, n_rows: int, max_iter: int = 100) -> LogisticR
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
+        tol=TOLERANCE,
     )
 
 
-def linear_svm(c: float, n_rows: int, max_iter: int = 50) -> OneVsRest:
+def linear_svm(c: float, n_rows: int, max_iter: int = 20) -> OneVsRest:
     """One linear SVM per label against the rest."""
-    svm = LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, maxIter=max_iter)
-    return OneVsRest(classifier=svm, labelCol="label_code", featuresCol="features")
+    svm = LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, maxIter=max_iter, tol=TOLERANCE)
+    return OneVsRest(classifier=svm, labelCol="label_code", featuresCol="features", parallelism=4)
 
 
-def text_classifier(model: str, params: Mapping, train: DataFrame) -> Pipeline:
+def text_classifier(model: str, params: Mapping, train: DataFrame, n_rows: int) -> Pipeline:
     """The estimator a (model type, parameters) pair describes, sized for the prepared training rows."""
-    n_rows = train.count()
     if model == "FastText":
         return embedding_classifier(int(params.get("dim", 100)), int(params.get("epoch", 5)), n_rows)
     terms = f"terms_{params.get('max_n', 1)}"
@@ -149,11 +159,9 @@ def fit_predict(
             return with_bucket_words(df, text)
         return with_terms(df, text)
 
-    fitting = label_index(prepared(train.select(doc_id, text, label)), label).cache()
-    try:
-        fitted = text_classifier(model, params, fitting).fit(fitting)
-    finally:
-        fitting.unpersist()
+    needed = prepared(train.select(doc_id, text, label)).drop(text)
+    fitting, n_rows = training_rows(label_index(needed, label))
+    fitted = text_classifier(model, params, fitting, n_rows).fit(fitting)
     scored = fitted.transform(prepared(holdout.select(doc_id, text, label)))
     named = label_name(
         scored.withColumn("_code", F.col("prediction").cast("int")),
@@ -190,20 +198,26 @@ def grid_cv(
     model: str,
     max_ngrams: Sequence[int] = (1, 2),
     cs: Sequence[float] = (0.1, 1.0, 10.0),
-    parallelism: int = 4,
-    max_iter: int = 100,
+    parallelism: int = 8,
+    max_iter: int = 40,
 ) -> DataFrame:
     """Mean macro F1 over the folds of every (n-gram range, C), best first.
 
     Features are fitted inside each training fold. The folds come from a column,
     so they can be stratified.
     """
-    data = label_index(with_terms(df.select(text, label, F.col(fold).cast("int").alias("fold")), text), label)
-    data = data.drop(text).cache()
+    named = with_terms(df.select(text, label, F.col(fold).cast("int").alias("fold")), text).drop(text)
+    buckets = feature_count(named, f"terms_{max(max_ngrams)}")
+    data = label_index(named, label)
+    # Hashing does not depend on the fold, so it is done once; IDF is fitted inside each training fold.
+    for n in max_ngrams:
+        data = HashingTF(inputCol=f"terms_{n}", outputCol=f"tf_{n}", numFeatures=buckets).transform(data)
+    data, n_rows = training_rows(data.select("label_code", "fold", *[f"tf_{n}" for n in max_ngrams]))
     n_folds = data.agg(F.max("fold")).first()[0] + 1
-    n_train = int(data.count() * (n_folds - 1) / n_folds)
-    hashing, idf, norm = feature_stages("terms_1", feature_count(data, f"terms_{max(max_ngrams)}"))
-    grid = ParamGridBuilder().addGrid(hashing.inputCol, [f"terms_{n}" for n in max_ngrams])
+    n_train = n_rows * (n_folds - 1) // n_folds
+    idf = SmoothIdf(inputCol="tf_1", outputCol="tfidf")
+    norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
+    grid = ParamGridBuilder().addGrid(idf.inputCol, [f"tf_{n}" for n in max_ngrams])
     if model == "LogisticRegression":
         classifier = logistic_regression(1.0, n_train, max_iter)
         grid = grid.addGrid(classifier.regParam, [1.0 / (c * n_train) for c in cs])
@@ -215,17 +229,14 @@ def grid_cv(
     else:
         raise ValueError(f"unknown model {model!r}")
     search = CrossValidator(
-        estimator=Pipeline(stages=[hashing, idf, norm, classifier]),
+        estimator=Pipeline(stages=[idf, norm, classifier]),
         estimatorParamMaps=grid.build(),
         evaluator=MacroF1Evaluator(),
         numFolds=n_folds,
         foldCol="fold",
         parallelism=parallelism,
     )
-    try:
-        means = search.fit(data).avgMetrics
-    finally:
-        data.unpersist()
+    means = search.fit(data).avgMetrics
     configs = [(n, float(c)) for n in max_ngrams for c in cs]
     rows = [(model, n, c, float(mean)) for (n, c), mean in zip(configs, means)]
     result = df.sparkSession.createDataFrame(rows, "model string, max_n int, C double, mean_score double")

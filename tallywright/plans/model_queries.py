@@ -113,7 +113,7 @@ def _search(spark, sf_dir, model, max_iter):
 
 @query("grid_cv")
 def grid_cv(spark, sf_dir):
-    return rounded(_search(spark, sf_dir, "LogisticRegression", 20), "mean_score")
+    return rounded(_search(spark, sf_dir, "LogisticRegression", 10), "mean_score")
 
 
 @query("grid_cv_svm")

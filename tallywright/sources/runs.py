@@ -23,10 +23,7 @@ LOG_COLUMNS = {"gen": "int", "nevals": "int", "avg": "double", "std": "double",
 
 def _whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .option("wholetext", True)
-        .text(root)
+        spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
         .select(F.col("value"), F.col("_metadata.file_path").alias("source_file"))
     )
 
