@@ -48,7 +48,7 @@ def count_incoming(
     """
     counts = stream.groupBy(
         *groups, F.col(true).alias("true_label"), F.col(pred).alias("pred_label")
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum(latency).alias("seconds"))
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(latency).alias("seconds"), F.count(latency).alias("timed"))
 
     def store(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
@@ -74,5 +74,5 @@ def running_leaderboard(spark: SparkSession, state: str, groups: Sequence[str])
     """Scores per group over everything counted so far."""
     counts = current_counts(spark, state)
     scores = macro_scores(counts.select(*groups, "true_label", "pred_label", "n"), groups)
-    latency = counts.groupBy(*groups).agg((F.sum("seconds") / F.sum("n")).alias("mean_latency_s"))
+    latency = counts.groupBy(*groups).agg(F.when(F.sum("timed") > 0, F.sum("seconds") / F.sum("timed")).alias("mean_latency_s"))
     return scores.join(latency, list(groups)).select(*groups, "macro_f1", "accuracy", "mean_latency_s", "n")
