@@ -34,6 +34,7 @@ def join_key_stats(
     weight: str,
     max_rows: int = SMALL_ROWS,
     hot_keys: int = HOT_KEYS,
+    stored: bool = False,
 ) -> DataFrame:
     """Inner join of ``rows`` with ``stats``, which has one row per ``keys``.
 
@@ -41,13 +42,14 @@ def join_key_stats(
     A small ``stats`` is broadcast. Otherwise the keys heavier than
     ``total / hot_keys`` (there can be no more than ``hot_keys`` of them) are
     broadcast and only the remaining, light keys are shuffled, so no task ever
-    receives a hot key.
+    receives a hot key. ``stored`` says that ``stats`` is already a written table.
     """
     keys = list(keys)
     small = small_table(stats, max_rows)
     if small is not None:
         return rows.join(F.broadcast(small), keys)
-    stats = written(stats, "key-stats")
+    if not stored:
+        stats = written(stats, "key-stats")
     total = stats.agg(F.sum(weight)).first()[0]
     cut = total / hot_keys
     hot = stats.where(F.col(weight) > cut)
