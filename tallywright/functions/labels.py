@@ -53,14 +53,19 @@ def clean_answer(raw: str | Column, labels: Sequence[str] = LABELS) -> Column:
     line contains.
     """
     raw = _column(raw)
-    lines = F.filter(F.transform(F.split(raw, "\n"), strip), lambda line: line != "")
-    last = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
+    # Once trailing whitespace is gone, the last line is the last non-blank one.
+    last = strip(F.substring_index(strip(raw), "\n", -1))
     answer = F.regexp_replace(last, f"(?i)^categoria[:{SPACE}]*", "")
     answer = strip(F.lower(F.regexp_replace(answer, PUNCTUATION, "")))
-    exact = [F.when(answer == label.lower(), label) for label in labels]
-    inside = [F.when(answer.contains(label.lower()), label) for label in labels]
-    mapped = F.coalesce(*exact, *inside, F.lit(UNMAPPED_ANSWER))
-    return F.when(raw.isNull(), MISSING_ANSWER).otherwise(mapped)
+
+    def mapped(text: Column) -> Column:
+        exact = [F.when(text == label.lower(), label) for label in labels]
+        inside = [F.when(text.contains(label.lower()), label) for label in labels]
+        return F.coalesce(*exact, *inside, F.lit(UNMAPPED_ANSWER))
+
+    # As a lambda variable the cleaned line is computed once, not once per rule.
+    found = F.get(F.transform(F.array(answer), mapped), 0)
+    return F.when(raw.isNull(), MISSING_ANSWER).otherwise(found)
 
 
 def hit_flag(predicted: str | Column, actual: str | Column) -> Column:

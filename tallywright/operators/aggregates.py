@@ -50,7 +50,8 @@ def review_statistics(
     rating = F.col(f"`{realism}`").try_cast("double")
 
     def percent(name: str):
-        return F.sum(yes_no_flag(F.col(f"`{name}`")).cast("long")) * F.lit(100.0).cast("double") / F.count(F.lit(1))
+        answers = F.sum(yes_no_flag(F.col(f"`{name}`")).cast("long"))
+        return F.try_divide(answers * F.lit(100.0).cast("double"), F.count(F.lit(1)))
 
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.base import Model
@@ -66,22 +67,25 @@ def with_terms(df: DataFrame, text: str, max_ngrams: Sequence[int]) -> DataFrame
     return df.withColumns({f"terms_{n}": ngram_tokens(text, n) for n in max_ngrams})
 
 
-def feature_count(df: DataFrame, terms: str) -> int:
+def feature_count(df: DataFrame, terms: str, at_most: int = MAX_FEATURES) -> int:
     """Hash buckets for the terms of a frame: a power of two near a quarter of the distinct terms.
 
     Most distinct terms are rare, so few frequent ones share a bucket, while the
     cost of every optimiser step grows with the bucket count.
     """
     distinct = df.select(F.explode(terms).alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-    return min(max(1 << (distinct // 4).bit_length(), MIN_FEATURES), MAX_FEATURES)
+    return min(max(1 << (distinct // 4).bit_length(), MIN_FEATURES), at_most)
 
 
-def training_rows(df: DataFrame) -> tuple[DataFrame, int]:
-    """Cache the rows an optimiser passes over many times, in no more tasks than they are worth."""
+@contextmanager
+def training_rows(df: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """Rows an optimiser passes over many times, cached, in no more tasks than they are worth."""
     data = df.cache()
-    n_rows = data.count()
-    packed = data.coalesce(max(1, n_rows // ROWS_PER_TASK))
-    return packed, n_rows
+    try:
+        n_rows = data.count()
+        yield data.coalesce(max(1, n_rows // ROWS_PER_TASK)), n_rows
+    finally:
+        data.unpersist()
 
 
 def feature_stages(terms: str, num_features: int) -> list:
@@ -164,8 +168,8 @@ def fit_predict(
         return with_terms(df, text, [params.get("max_n", 1)])
 
     needed = prepared(train.select(doc_id, text, label)).drop(text)
-    fitting, n_rows = training_rows(label_index(needed, label))
-    fitted = text_classifier(model, params, fitting, n_rows).fit(fitting)
+    with training_rows(label_index(needed, label)) as (fitting, n_rows):
+        fitted = text_classifier(model, params, fitting, n_rows).fit(fitting)
     scored = fitted.transform(prepared(holdout.select(doc_id, text, label)))
     named = label_name(
         scored.withColumn("_code", F.col("prediction").cast("int")),
@@ -204,6 +208,7 @@ def grid_cv(
     cs: Sequence[float] = (0.1, 1.0, 10.0),
     parallelism: int = 8,
     max_iter: int = 30,
+    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """Mean macro F1 over the folds of every (n-gram range, C), best first.
 
@@ -211,36 +216,36 @@ def grid_cv(
     so they can be stratified.
     """
     named = with_terms(df.select(text, label, F.col(fold).cast("int").alias("fold")), text, max_ngrams).drop(text)
-    buckets = feature_count(named, f"terms_{max(max_ngrams)}")
+    buckets = feature_count(named, f"terms_{max(max_ngrams)}", max_features)
     data = label_index(named, label)
     # Hashing does not depend on the fold, so it is done once; IDF is fitted inside each training fold.
     for n in max_ngrams:
         data = HashingTF(inputCol=f"terms_{n}", outputCol=f"tf_{n}", numFeatures=buckets).transform(data)
-    data, n_rows = training_rows(data.select("label_code", "fold", *[f"tf_{n}" for n in max_ngrams]))
-    n_folds = data.agg(F.max("fold")).first()[0] + 1
-    n_train = n_rows * (n_folds - 1) // n_folds
-    idf = SmoothIdf(inputCol="tf_1", outputCol="tfidf")
-    norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
-    grid = ParamGridBuilder().addGrid(idf.inputCol, [f"tf_{n}" for n in max_ngrams])
-    if model == "LogisticRegression":
-        classifier = logistic_regression(1.0, n_train, max_iter)
-        grid = grid.addGrid(classifier.regParam, [1.0 / (c * n_train) for c in cs])
-    elif model in ("SVM", "LinearSVC"):
-        classifier = linear_svm(1.0, n_train, max_iter)
-        grid = grid.addGrid(
-            classifier.classifier, [linear_svm(c, n_train, max_iter).getClassifier() for c in cs]
+    with training_rows(data.select("label_code", "fold", *[f"tf_{n}" for n in max_ngrams])) as (rows, n_rows):
+        n_folds = rows.agg(F.max("fold")).first()[0] + 1
+        n_train = n_rows * (n_folds - 1) // n_folds
+        idf = SmoothIdf(inputCol="tf_1", outputCol="tfidf")
+        norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
+        grid = ParamGridBuilder().addGrid(idf.inputCol, [f"tf_{n}" for n in max_ngrams])
+        if model == "LogisticRegression":
+            classifier = logistic_regression(1.0, n_train, max_iter)
+            grid = grid.addGrid(classifier.regParam, [1.0 / (c * n_train) for c in cs])
+        elif model in ("SVM", "LinearSVC"):
+            classifier = linear_svm(1.0, n_train, max_iter)
+            grid = grid.addGrid(
+                classifier.classifier, [linear_svm(c, n_train, max_iter).getClassifier() for c in cs]
+            )
+        else:
+            raise ValueError(f"unknown model {model!r}")
+        search = CrossValidator(
+            estimator=Pipeline(stages=[idf, norm, classifier]),
+            estimatorParamMaps=grid.build(),
+            evaluator=MacroF1Evaluator(),
+            numFolds=n_folds,
+            foldCol="fold",
+            parallelism=parallelism,
         )
-    else:
-        raise ValueError(f"unknown model {model!r}")
-    search = CrossValidator(
-        estimator=Pipeline(stages=[idf, norm, classifier]),
-        estimatorParamMaps=grid.build(),
-        evaluator=MacroF1Evaluator(),
-        numFolds=n_folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    means = search.fit(data).avgMetrics
+        means = search.fit(rows).avgMetrics
     configs = [(n, float(c)) for n in max_ngrams for c in cs]
     rows = [(model, n, c, float(mean)) for (n, c), mean in zip(configs, means)]
     result = df.sparkSession.createDataFrame(rows, "model string, max_n int, C double, mean_score double")

@@ -29,4 +29,4 @@ def timed_runs(df: DataFrame, runtime: str, above: float = 0.01) -> DataFrame:
 
 def high_quality_share(rating: Column, good: float = 4) -> Column:
     """Percent of all rows rated ``good`` or better; unreadable ratings count as rows only."""
-    return F.count(F.when(rating >= good, 1)) * F.lit(100.0).cast("double") / F.count(F.lit(1))
+    return F.try_divide(F.count(F.when(rating >= good, 1)) * F.lit(100.0).cast("double"), F.count(F.lit(1)))

@@ -51,7 +51,7 @@ def join_key_stats(
     if not stored:
         stats = written(stats, "key-stats")
     total = stats.agg(F.sum(weight)).first()[0]
-    cut = total / hot_keys
+    cut = (total or 0) // hot_keys
     hot = stats.where(F.col(weight) > cut)
     cold = stats.where(F.col(weight) <= cut)
     from_hot = rows.join(F.broadcast(hot), keys)

@@ -108,7 +108,7 @@ def holdout_report(spark, sf_dir):
 
 def _search(spark, sf_dir, model, max_iter):
     folded = derived.fold_documents(spark, sf_dir)
-    return classifiers.grid_cv(folded, "text", "lang", "fold", model, max_iter=max_iter)
+    return classifiers.grid_cv(folded, "text", "lang", "fold", model, max_iter=max_iter, max_features=1 << 14)
 
 
 @query("grid_cv")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import grids, sampling, unions, windows
 from ..operators.joins import runtime_lookup
-from ..operators.metrics import cv_mean_score
+from ..operators.sizing import join_key_stats
+from ..session import scratch_path
+from ..sources.store import load_or_create
 from . import derived
 from .derived import GENERATIONS, RUNS, SPLIT, sql_hash
 from .registry import query, rounded, six, table, whole
@@ -102,8 +104,8 @@ SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY model ORDER BY score
 )
 def elite_topk(spark, sf_dir):
     runs = derived.runs(spark, sf_dir).select("model", "run_id", "score")
-    best = runs.groupBy("model").agg(F.max("score").alias("top"))
-    carried = runs.join(best, "model").where("score = top").select("model", "run_id", "score")
+    best = runs.groupBy("model").agg(F.max("score").alias("top"), F.count(F.lit(1)).alias("n"))
+    carried = join_key_stats(runs, best, ["model"], "n").where("score = top").select("model", "run_id", "score")
     return windows.elite_topk(
         runs.withColumn("source", F.lit("candidate")),
         carried.withColumn("source", F.lit("carried")),
@@ -299,3 +301,41 @@ def _sql_uniform(name: str) -> str:
 )
 def random_configs(spark, sf_dir):
     return rounded(grids.random_configs(table(spark, sf_dir, "part"), "p_partkey"), "lr")
+
+
+@query(
+    "search_comparison",
+    """WITH searched AS (SELECT p_brand AS model, 'Grid/Optuna' AS approach, p_partkey AS run_id, p_size / CAST(50 AS DOUBLE) AS f1,
+  p_retailprice AS runtime_seconds FROM part WHERE p_size % 2 = 0),
+own AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part WHERE p_size % 2 = 1),
+evolved AS (SELECT p_brand, 'Evolutionary', p_partkey, p_size / CAST(50 AS DOUBLE),
+  CASE WHEN p_size > 25 THEN p_retailprice ELSE 0 END FROM own),
+runs AS (SELECT * FROM searched UNION ALL SELECT * FROM evolved),
+w AS (SELECT *, max(f1) OVER (PARTITION BY approach ORDER BY runtime_seconds, f1 DESC, run_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs WHERE runtime_seconds > 0.01)
+SELECT approach, model, run_id, f1, runtime_seconds FROM w WHERE before IS NULL OR f1 >= before""",
+)
+def search_comparison(spark, sf_dir):
+    """Both kinds of search, with looked-up runtimes, in one stored table and its frontier per approach."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("model"),
+        F.col("p_partkey").alias("run_id"),
+        (F.col("p_size") / 50).alias("f1"),
+        F.col("p_size").alias("size"),
+        F.col("p_retailprice").alias("price"),
+    )
+
+    def build():
+        searched = part.where("size % 2 = 0").select(
+            "model", F.lit("Grid/Optuna").alias("approach"), "run_id", "f1", F.col("price").alias("runtime_seconds")
+        )
+        own = part.where("size % 2 = 1")
+        summary = own.select("model", F.lit("Evolutionary").alias("approach"), "run_id", "f1")
+        evaluations = own.where("size > 25").select("run_id", F.col("price").alias("runtime_seconds"))
+        logs = own.where("size > 50").select("run_id", F.col("price").alias("time"))
+        return unions.union_results(searched, runtime_lookup(summary, evaluations, logs, "run_id"))
+
+    runs = load_or_create(spark, scratch_path(spark, "comparison"), build, ["f1", "runtime_seconds"])
+    return windows.pareto_frontier(runs, "runtime_seconds", "f1", ["approach"]).select(
+        "approach", "model", "run_id", "f1", "runtime_seconds"
+    )

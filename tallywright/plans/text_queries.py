@@ -173,6 +173,21 @@ def canonical_strategy(spark, sf_dir):
     )
 
 
+_LAI = "Pedido de Acesso à Informação (LAI)"
+
+
+@query(
+    "canonical_label",
+    f"""WITH {RAW_ANSWERS}, named AS (SELECT conv_id, turn, CASE label WHEN 'Pedido de LAI' THEN '{_LAI}' ELSE label END AS label
+  FROM raw_answers)
+SELECT conv_id, turn, label, CASE label WHEN '{_LAI}' THEN 'Pedido de LAI' ELSE label END AS canonical FROM named""",
+)
+def canonical_label(spark, sf_dir):
+    label = F.when(F.col("label") == "Pedido de LAI", _LAI).otherwise(F.col("label"))
+    rows = derived.raw_answers(spark, sf_dir).select("conv_id", "turn", label.alias("label"))
+    return rows.withColumn("canonical", lab.canonical_label("label"))
+
+
 @query("label_index", "SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang) - 1 AS label_code FROM documents")
 def indexed(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
