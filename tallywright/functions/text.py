@@ -97,5 +97,6 @@ def ngram_tokens(text: str | Column, max_n: int = 1, stop_words: Sequence[str] =
     if max_n == 1:
         return tokens
     if max_n == 2:
-        return F.concat(tokens, bigrams(tokens))
+        # As a lambda variable the words are extracted once, not once per use.
+        return F.get(F.transform(F.array(tokens), lambda words: F.concat(words, bigrams(words))), 0)
     raise ValueError("max_n must be 1 or 2")
