@@ -27,6 +27,8 @@ REVIEW_COLUMNS = [
 ]
 ROWS_PER_CLASS = 8
 FLAT_SAMPLE = 48
+# Up to this many rows per group Spark limits a window inside each map task.
+LIMIT_IN_MAP = 1_000
 
 
 def _assign_by_cuts(
@@ -131,14 +133,29 @@ def sample_per_class(
     df: DataFrame, id_col: str, label: str | None, n: int = ROWS_PER_CLASS, seed: str = "sample-42"
 ) -> DataFrame:
     """Up to ``n`` rows per class in shuffled order; without a class column a flat sample."""
-    shuffle = seeded_hash(id_col, seed)
     if label is None or label not in df.columns:
         return sample_n(df, id_col, FLAT_SAMPLE if n == ROWS_PER_CLASS else n * 6, seed)
-    return top_rows(df, [label], [shuffle, F.col(id_col)], n).orderBy(seeded_hash(id_col, seed + "-order"), id_col)
+    classified = df.where(F.col(label).isNotNull())
+    if n <= LIMIT_IN_MAP:
+        chosen = top_rows(classified, [label], [seeded_hash(id_col, seed), F.col(id_col)], n)
+    else:
+        chosen = _first_by_hash(classified, id_col, label, n, seed)
+    return chosen.orderBy(seeded_hash(id_col, seed + "-order"), id_col)
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: str = "sample-42") -> DataFrame:
-    return df.orderBy(seeded_hash(id_col, seed), id_col).limit(n)
+    """``n`` rows in shuffled order; ``id_col`` must be unique."""
+    order = [seeded_hash(id_col, seed), F.col(id_col)]
+    if n <= LIMIT_IN_MAP:
+        return df.orderBy(*order).limit(n)
+    chosen = _first_by_hash(df.withColumn("_all", F.lit(0)), id_col, "_all", n, seed)
+    return chosen.drop("_all").orderBy(*order)
+
+
+def _first_by_hash(df: DataFrame, id_col: str, label: str, n: int, seed: str) -> DataFrame:
+    """The ``n`` rows of lowest hash per label, found by a cut instead of a sort of each label."""
+    cut = F.array(F.least(F.col("_total"), F.lit(n).cast("long")))
+    return _assign_by_cuts(df, id_col, label, seed, cut, 4, SMALL_ROWS).where("_part = 0").drop("_part")
 
 
 def review_sheet(

@@ -57,7 +57,7 @@ def _options(sep: str, multi_line: bool) -> dict:
 def read_header(spark: SparkSession, path: str, sep: str, multi_line: bool = True) -> list[str]:
     """Column names as in the file's first record, without a byte-order mark."""
     names = spark.read.options(**_options(sep, multi_line)).csv(path).columns
-    return [name.lstrip("﻿") for name in names]
+    return [name.lstrip("\ufeff") for name in names]
 
 
 def read_rows(

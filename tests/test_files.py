@@ -33,7 +33,7 @@ def test_labelled_text(spark, tmp_path, sep):
 
 
 def test_labelled_text_wide(spark, tmp_path):
-    path = put(tmp_path / "in.csv", "﻿id;demanda_texto;classificacao_real;x\n1;t;L;\n2;u;M\n3;v\n4;w;;;q\n")
+    path = put(tmp_path / "in.csv", "\ufeffid;demanda_texto;classificacao_real;x\n1;t;L;\n2;u;M\n3;v\n4;w;;;q\n")
     assert pairs(delimited.load_labelled_text(spark, path)) == [("t", "L"), ("u", "M")]
 
 
@@ -52,7 +52,7 @@ def test_tsv_discovery(spark, tmp_path):
 
 @pytest.mark.parametrize("sep", [",", "|", ";"])
 def test_sheet(spark, tmp_path, sep):
-    text = '﻿"ID_Original";"Realismo 1 a 5 \n(1-Muito. 5-Natural)"\n"7";"4"\n'
+    text = '\ufeff"ID_Original";"Realismo 1 a 5 \n(1-Muito. 5-Natural)"\n"7";"4"\n'
     sheet = delimited.load_sheet_sniff_delimiter(spark, put(tmp_path / "s.csv", text.replace(";", sep)))
     assert sheet.columns == ["ID_Original", "Realismo 1 a 5  (1-Muito. 5-Natural)"]
     assert tuple(sheet.first()) == ("7", "4")

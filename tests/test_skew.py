@@ -127,6 +127,16 @@ def test_sampling_edges(events):
     assert sampling.row_ids(events.limit(12), "event_id").agg(F.max("row_id")).first()[0] == "0012"
 
 
+def test_large_samples_equal_small_ones(events, monkeypatch):
+    def samples():
+        per_class = sampling.sample_per_class(events, "event_id", "g", 30).select("event_id")
+        return per_class, sampling.sample_n(events, "event_id", 100).select("event_id")
+
+    limited = [df.collect() for df in samples()]
+    monkeypatch.setattr(sampling, "LIMIT_IN_MAP", 0)
+    assert [df.collect() for df in samples()] == limited
+
+
 def test_tfidf_beyond_broadcast(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plain = features.tfidf(documents, "doc_id", "text").select("doc_id", "term", F.round("weight", 9))
