@@ -22,7 +22,9 @@ from ..session import scratch_path, written
 from .common import SPACES, load, whole_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE = "spark.sql.streaming.stateStore"
+#: Disk-backed state. Every partition has a store of its own, most of them small, so none reserves disk ahead.
+STATE_SETTINGS = {f"{STATE}.providerClass": ROCKSDB, f"{STATE}.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: str | Column) -> Column:
@@ -66,8 +68,9 @@ def stream_groups(spark: SparkSession, rows: DataFrame, checkpoint: str, sink: s
     def keep(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -78,10 +81,11 @@ def stream_groups(spark: SparkSession, rows: DataFrame, checkpoint: str, sink: s
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     # An empty first folder, so that a stream without any row can be read as well.
     spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{sink}/batch=-1")
     states = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(sink)
