@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import bpe, chat, exact_dedup, mixing, quality, sharding, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.query,
     "op3_sharding": sharding.query,
+    "op4_quality_rules": quality.query,
+    "op5_chat_formatting": chat.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_mixing": mixing.query,
+    "op9_byte_bpe": bpe.query,
 }
 
 SQL = {
+    "op4_quality_rules": quality.SQL,
+    "op5_chat_formatting": chat.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
 }
