@@ -87,7 +87,8 @@ def shuffle_into_shards(
     rows = scattered(docs, id_col, text_col, seed, bucket_bytes)
     counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    plan = permutations(prefix_sums(counts, "bucket", "n", "base"), seed, tasks)
+    # Written, so that it has no partitioning of its own to which the rows would be shuffled once more.
+    plan = written(permutations(prefix_sums(counts, "bucket", "n", "base"), seed, tasks), "bucket-orders")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "content")) - 1
     placed = rows.withColumn("rank", rank).join(plan.hint("merge"), "bucket")
     position = F.col("base") + F.get("order", F.col("rank"))
