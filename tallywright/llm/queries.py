@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, quality, sharding, token_files
+from . import bpe, chat, exact_dedup, fm_index, mixing, quality, sharding, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op2_substring_dedup": fm_index.query,
     "op3_sharding": sharding.query,
     "op4_quality_rules": quality.query,
     "op5_chat_formatting": chat.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_substring_dedup": fm_index.SQL,
     "op4_quality_rules": quality.SQL,
     "op5_chat_formatting": chat.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
