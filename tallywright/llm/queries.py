@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, fm_index, mixing, quality, sharding, token_files
+from . import bpe, chat, exact_dedup, fm_index, mixing, quality, sharding, suffix_dedup, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.query,
     "op8_mixing": mixing.query,
     "op9_byte_bpe": bpe.query,
+    "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
 SQL = {
