@@ -10,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: The white space that separates words: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -70,3 +72,11 @@ def prefix_sums(rows: DataFrame, key: str, value: str, out: str, block: int = 40
     bases = totals.select("_block", F.coalesce(outer, F.lit(0)).alias("_base"))
     summed = blocks.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(bases, "_block")
     return summed.withColumn(out, F.col("_base") + F.col("_inner")).drop("_block", "_inner", "_base")
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs``, written once with a number per row, and the column's name, which is none of its own."""
+    column = "row_number"
+    while column in docs.columns:
+        column += "_"
+    return written(docs.withColumn(column, F.monotonically_increasing_id()), name), column

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path, written
-from .common import SPACES, load, whole_text
+from .common import SPACES, load, numbered, whole_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "spark.sql.streaming.stateStore"
@@ -32,7 +32,11 @@ def normalised(text: str | Column) -> Column:
     return F.translate(whole_text(text), SPACES, "")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, digest_chars: int) -> DataFrame:
+def _locator(row_col: str | None) -> Column:
+    return (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("locator")
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, digest_chars: int, row_col: str | None) -> DataFrame:
     """One narrow row per document: state key, digest, number of code points, identifier, locator."""
     sha = F.sha2(normalised(text_col), 256)
     return docs.select(
@@ -40,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, digest_chars: int)
         sha.alias("text_sha256"),
         F.length(whole_text(text_col)).cast("long").alias("n_points"),
         F.col(id_col).alias("doc_id"),
-        F.monotonically_increasing_id().alias("locator"),
+        _locator(row_col),
     )
 
 
@@ -111,6 +115,7 @@ def _result(rows: DataFrame) -> DataFrame:
         "group_size",
         (F.col("locator") == F.col("best.locator")).alias("kept"),
         "text_sha256",
+        "locator",
     )
 
 
@@ -120,14 +125,16 @@ def exact_dedup(
     text_col: str = "text",
     digest_chars: int = 64,
     files_per_batch: int = 100_000,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Group documents whose texts are equal apart from white space.
 
     Of equal texts the row with the most code points stays, then the smallest
     id. Returns one row per input row: ``doc_id, keep_id, group_size, kept,
-    text_sha256``. Exactly one row of a group has ``kept``. ``digest_chars`` is
-    the number of hex digits of the state key; a short key saves state and
-    leaves more work to the comparison of full texts.
+    text_sha256, locator``. Exactly one row of a group has ``kept``. ``row_col``
+    names a column of unique numbers to use as locator. ``digest_chars`` is the
+    number of hex digits of the state key; a short key saves state and leaves
+    more work to the comparison of full texts.
 
     Defined results: a null text equals the empty text; a null id sorts last;
     repeated rows and ids count as rows of their own and one of them stays; an
@@ -136,7 +143,7 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     home = scratch_path(spark, "exact-dedup")
-    fingerprints(docs, id_col, text_col, digest_chars).write.parquet(f"{home}/rows")
+    fingerprints(docs, id_col, text_col, digest_chars, row_col).write.parquet(f"{home}/rows")
     rows = spark.read.parquet(f"{home}/rows")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{home}/rows")
     groups = written(stream_groups(spark, stream, f"{home}/state", f"{home}/groups"), "groups")
@@ -150,7 +157,7 @@ def exact_dedup(
         F.col(id_col).alias("doc_id"),
         F.length(whole_text(text_col)).cast("long").alias("n_points"),
         normalised(text_col).alias("norm"),
-        F.monotonically_increasing_id().alias("locator"),
+        _locator(row_col),
     ).withColumn("text_sha256", F.sha2("norm", 256))
     apart = apart.withColumn("digest", F.substring("text_sha256", 1, digest_chars))
     apart = written(apart.join(clashing, "digest", "left_semi"), "apart")
@@ -158,8 +165,15 @@ def exact_dedup(
     return result.unionByName(_result(apart.join(by_text, "norm")))
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged."""
+    rows, row = numbered(docs, "exact-rows")
+    dropped = exact_dedup(rows, row_col=row, **options).where("not kept").select(F.col("locator").alias(row))
+    return rows.join(written(dropped, "exact-dropped"), row, "left_anti").drop(row)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(load(spark, sf_dir))
+    return exact_dedup(load(spark, sf_dir)).drop("locator")
 
 
 SQL = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, fm_index, mixing, quality, sharding, suffix_dedup, token_files
+from . import bpe, chat, exact_dedup, fm_index, minhash, mixing, quality, sharding, suffix_dedup, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.query,
     "op4_quality_rules": quality.query,
     "op5_chat_formatting": chat.query,
+    "op6_minhash_near_dedup": minhash.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_mixing": mixing.query,
     "op9_byte_bpe": bpe.query,
@@ -20,6 +21,7 @@ SQL = {
     "op2_substring_dedup": fm_index.SQL,
     "op4_quality_rules": quality.SQL,
     "op5_chat_formatting": chat.SQL,
+    "op6_minhash_near_dedup": minhash.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
 }

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -166,12 +166,13 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (part for whole in batches for part in slices(whole, "text", SLICE_BYTES))
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, twin, text``: ``twin`` tells texts of the same id apart; a null id is the largest number."""
+def identified(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``doc_id, twin, text`` and ``more``: ``twin`` tells texts of the same id apart; a null id is the largest number."""
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("doc_id"),
         F.xxhash64(text_col).alias("twin"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *more,
     )
 
 
