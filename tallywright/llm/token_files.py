@@ -18,9 +18,11 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +33,16 @@ from .common import load, prefix_sums, shuffle_tasks, whole_text
 
 PART_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).min
-#: Distinct words remembered per task, and the longest word remembered.
-MEMORY_WORDS, MEMORY_CHARS = 200_000, 64
+#: Distinct pieces and words remembered per Python worker, and the longest piece remembered.
+MEMORY_PIECES, MEMORY_WORDS, MEMORY_CHARS = 300_000, 600_000, 64
+#: Printable Latin text, which normalisation only lower-cases; and the vocabulary's words (fixed values of its file).
+PLAIN = regex.compile(r"[!-~\u00a1-\u024f]+").fullmatch
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+ADDED = "<|"
 
 
-class Pieces(dict):
-    """Ids, as bytes, of pieces of text between white space; each distinct piece is encoded once.
-
-    Words never span white space in this vocabulary's normaliser and splitter,
-    so a text's ids are those of its pieces in a row.
-    """
+class Words(dict):
+    """Ids, as bytes, of single words, each encoded by the library when it is first met."""
 
     def __init__(self, tokenizer_file: str, dtype: str):
         from tokenizers import Tokenizer
@@ -48,10 +50,37 @@ class Pieces(dict):
         self.encode = Tokenizer.from_file(tokenizer_file).encode
         self.dtype = dtype
 
+    def library(self, text: str) -> bytes:
+        return np.asarray(self.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.library(word)
+        if len(word) <= MEMORY_CHARS:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class Pieces(dict):
+    """Ids, as bytes, of pieces of text between white space.
+
+    Tokens never span white space in this vocabulary's normaliser and splitter,
+    so a text's ids are those of its pieces in a row, and the ids of a piece of
+    plain Latin text are those of its lower-case words. All other pieces, and
+    those that may hold an added token, go to the library as they are.
+    """
+
+    def __init__(self, tokenizer_file: str, dtype: str):
+        self.words = Words(tokenizer_file, dtype)
+
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        if PLAIN(piece) and ADDED not in piece:
+            ids = b"".join(map(self.words.__getitem__, WORDS(piece.lower())))
+        else:
+            ids = self.words.library(piece)
         if len(piece) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_WORDS:
+            if len(self) >= MEMORY_PIECES:
                 self.clear()
             self[piece] = ids
         return ids
@@ -60,6 +89,12 @@ class Pieces(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@cache
+def pieces_of(tokenizer_file: str, dtype: str) -> Pieces:
+    """One memory per Python worker, which serves several tasks."""
+    return Pieces(tokenizer_file, dtype)
+
+
 def vocabulary_dtype(tokenizer_file: str) -> str:
     from tokenizers import Tokenizer
 
@@ -73,7 +108,7 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 def _write_part(folder: str, number: int, rows: Iterator[pa.RecordBatch], tokenizer_file: str, dtype: str, end: int):
     store, base = _store(folder)
-    pieces, tail = Pieces(tokenizer_file, dtype), np.asarray([end], dtype).tobytes()
+    pieces, tail = pieces_of(tokenizer_file, dtype), np.asarray([end], dtype).tobytes()
     width, ids, lengths = np.dtype(dtype).itemsize, [], []
     own = uuid.uuid4().hex  # attempts of a task never share a file until the last, atomic, rename
     with store.open_output_stream(f"{base}/.{number:05d}-{own}.ids") as out:
