@@ -82,6 +82,27 @@ def word_tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_column(text)), F.lit(TOKEN), F.lit(0))
 
 
+def counted(terms: Column) -> Column:
+    """The distinct ``terms`` of an array with their numbers, as an array of structs ``term, tf``.
+
+    Counting happens inside the row, over the sorted array.
+    """
+
+    def runs(ordered: Column) -> Column:
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, F.greatest(i - 1, F.lit(0)))),
+        )
+        ends = F.concat(F.slice(heads, 2, F.size(heads)), F.array(F.size(ordered)))
+        return F.zip_with(
+            heads, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).cast("long").alias("tf"))
+        )
+
+    # As a lambda variable the array is sorted once, not once per use.
+    found = F.get(F.transform(F.array(F.sort_array(terms)), runs), 0)
+    return F.when(F.size(terms) > 0, found)
+
+
 def bigrams(tokens: Column) -> Column:
     shifted = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
     starts = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))

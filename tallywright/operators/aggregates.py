@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import yes_no_flag
+from ..functions.numbers import real
 from .filters import high_quality_share
 
 
 def best_per_strategy(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max(score).alias("best_score"))
+    return df.groupBy(*keys).agg(F.max(real(score)).alias("best_score"))
 
 
 def population_stats(df: DataFrame, keys: Sequence[str], fitness: str) -> DataFrame:
@@ -47,7 +48,7 @@ def review_statistics(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """Percent consistent, mean realism, percent rated 4 or better, percent leaking, percent complex."""
-    rating = F.col(f"`{realism}`").try_cast("double")
+    rating = real(F.col(f"`{realism}`").try_cast("double"))
 
     def percent(name: str):
         answers = F.sum(yes_no_flag(F.col(f"`{name}`")).cast("long"))
@@ -66,7 +67,8 @@ def review_statistics(
 def snapshot_stats(df: DataFrame, label: str) -> DataFrame:
     """Row count, class count and the sorted class names.
 
-    Rows are first counted per label, so only distinct labels are gathered.
+    Rows are first counted per label, so only distinct labels are gathered: they
+    are the one row's result.
     """
     per_label = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return per_label.agg(

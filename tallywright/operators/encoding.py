@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import number_rows
 from .sizing import join_key_stats
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """One row per distinct label with its code: the position in sorted order, from 0.
 
-    The window runs over the distinct labels only.
+    Numbered over the distinct labels only, in parts if there are many.
     """
     distinct = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
-    position = F.row_number().over(Window.orderBy(label)) - 1
-    return distinct.withColumn("label_code", position)
+    numbered = number_rows(distinct, [], [label], "_place")
+    return numbered.withColumn("label_code", (F.col("_place") - 1).cast("int")).drop("_place")
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:

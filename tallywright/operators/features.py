@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_tokens
+from ..functions.text import counted, ngram_tokens
+from ..session import written
 from .sizing import SMALL_ROWS, join_key_stats
 
 
@@ -22,14 +23,12 @@ def term_counts(
 ) -> DataFrame:
     """How often each term occurs in each document (once at most if ``binary``).
 
-    The texts are shuffled once, by document; counting and everything else that
-    works per document then stays in place. ``carry`` names further columns of
-    the document to keep.
+    ``doc_id`` is unique. Terms are counted inside the document's row, so no
+    text is shuffled. ``carry`` names further columns of the document to keep.
     """
-    texts = df.select(doc_id, *carry, text).repartition(F.col(doc_id))
-    terms = texts.select(doc_id, *carry, F.explode(ngram_tokens(text, max_n, stop_words)).alias("term"))
-    tf = F.lit(1).cast("long") if binary else F.count(F.lit(1))
-    return terms.groupBy(doc_id, *carry, "term").agg(tf.alias("tf"))
+    counts = F.inline(counted(ngram_tokens(text, max_n, stop_words)))
+    terms = df.select(doc_id, *carry, counts)
+    return terms.withColumn("tf", F.lit(1).cast("long")) if binary else terms
 
 
 def document_frequency(
@@ -65,7 +64,7 @@ def tfidf(
     max_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """(document, term, tf, df, weight) for every term of every document."""
-    counts = term_counts(df, doc_id, text, max_n, stop_words, binary)
+    counts = written(term_counts(df, doc_id, text, max_n, stop_words, binary), "postings")
     n_docs = df.count()
     frequencies = document_frequency(counts, n_docs, min_df, max_df)
     joined = join_key_stats(counts, frequencies, ["term"], "df", max_rows)

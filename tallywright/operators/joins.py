@@ -7,17 +7,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATALOGUE = 1_000
+#: Entries up to this number are constants of the plan; more are a table, so that the plan stays small.
+IN_PLAN = 1_000
 
 
 def with_catalogue(df: DataFrame, entries: Sequence[Mapping], what: str = "catalogue") -> DataFrame:
     """One copy of every row per catalogue entry, the entry's fields as columns.
 
-    The catalogue is a constant of the plan, so the fan-out happens in place:
-    no join and no shuffle.
+    The catalogue is a list of the driver: a constant of the plan or, if long, a
+    one-row table that is broadcast. Either way the fan-out happens in place,
+    without a shuffle.
     """
-    if not entries or len(entries) > MAX_CATALOGUE:
-        raise ValueError(f"{what} must have 1 to {MAX_CATALOGUE} entries, not {len(entries)}")
+    if not entries:
+        raise ValueError(f"{what} must have at least one entry")
+    if len(entries) > IN_PLAN:
+        rows = df.sparkSession.createDataFrame([dict(entry) for entry in entries])
+        listed = rows.select(F.struct(*entries[0]).alias("_entry")).agg(F.collect_list("_entry").alias("_entries"))
+        return df.join(F.broadcast(listed.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).select(
+            *df.columns, F.inline("_entries")
+        )
     structs = [F.struct(*[F.lit(value).alias(name) for name, value in entry.items()]) for entry in entries]
     return df.select("*", F.inline(F.array(*structs)))
 

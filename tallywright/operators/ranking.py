@@ -11,11 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import written
 
 MAX_GROUP_ROWS = 200_000
-MAX_CELLS = 4_096
-HOT_KEYS = 1_000
 
 
 def seeded_hash(id_col: str | Column, seed: str) -> Column:
@@ -40,62 +39,25 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return ranked.where(F.col("_rn") <= k).drop("_rn")
 
 
-def _literal(value, data_type: T.DataType) -> Column:
-    if isinstance(data_type, T.TimestampNTZType):
-        return F.expr(f"TIMESTAMP_NTZ '{value}'")
-    return F.lit(value).cast(data_type)
-
-
-def _cell_of(order: Sequence[str], bounds: Sequence[tuple], types: Sequence[T.DataType]) -> Column:
-    """How many ``bounds`` sort before the row: a binary search over a constant array."""
-    points = F.array(
-        *[
-            F.struct(*[_literal(v, t).alias(n) for n, v, t in zip(order, bound, types)])
-            for bound in bounds
-        ]
-    )
-    here = F.struct(*order)
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        right = (state["lo"] < state["hi"]) & (F.get(points, middle) < here)
-        return F.struct(
-            F.when(right, middle + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(right, state["hi"]).otherwise(F.least(middle, state["hi"])).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, start, halve, lambda state: state["lo"])
-
-
 def with_cells(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, bool]:
-    """Add ``_cell``: 0 in groups that fit one task, an ordered cell number in larger ones.
-
-    ``order`` must be non-null columns, ending in a unique one. Returns the
-    frame and whether any group had to be cut. Cell bounds come from a small
-    sample; any bounds give the same results.
+    """Add ``_cell``, a number that rises along ``order`` inside each group; one cell holds about ``max_group_rows`` rows at most.
+
+    ``order`` must end in a unique column. Returns the frame and whether any
+    group had to be cut; if none, ``_cell`` is 0. Otherwise the rows are range
+    partitioned by group and order, which spreads a large group over as many
+    cells as it has rows for, whatever its values are, and written, because a
+    second evaluation might draw the bounds elsewhere. Any bounds give the same
+    results.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     if not total or largest <= max_group_rows:
         return df.withColumn("_cell", F.lit(0)), False
-
-    n_cells = min(MAX_CELLS, 2 * -(-total // max_group_rows))
-    types = [df.schema[name].dataType for name in order]
-    sample = df.select(*order).sample(fraction=min(1.0, 20 * n_cells / total), seed=7).collect()
-    points = sorted(tuple(row) for row in sample)
-    bounds = sorted({points[len(points) * i // n_cells] for i in range(1, n_cells)}) if points else []
-    cell = _cell_of(order, bounds, types) if bounds else F.lit(0)
-    if not keys:
-        return df.withColumn("_cell", cell), True
-    # Only groups above total / HOT_KEYS are worth cutting, and there are at most HOT_KEYS of them.
-    cut_above = max(max_group_rows, total // HOT_KEYS)
-    hot = sizes.where(F.col("_rows") > cut_above).select(*keys, F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    return marked.withColumn("_cell", F.when(F.col("_hot"), cell).otherwise(F.lit(0))).drop("_hot"), True
+    cells = 2 * -(-total // max_group_rows)
+    ranged = df.repartitionByRange(cells, *keys, *order).withColumn("_cell", F.spark_partition_id())
+    return written(ranged, "cells"), True
 
 
 def carry_over(rows: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten_text
+from ..session import written
 from .ranking import hash_bucket, number_cells, number_rows, seeded_hash, top_rows
 from .sizing import SMALL_ROWS, join_key_stats
 
@@ -45,8 +46,11 @@ def _assign_by_cuts(
     ``cut_ranks`` is an ascending array of ranks computed from ``_total``, the
     label's row count.
     """
-    hashed = df.withColumn("_hash", seeded_hash(id_col, seed))
-    keyed = hashed.select(F.col(label).alias("_label"), "_hash", hash_bucket("_hash", digits).alias("_bucket"))
+    # Rows without a label are a stratum of their own; the key itself is never null.
+    stratum = F.struct(F.col(label).isNull().alias("none"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("name"))
+    hashed = df.withColumn("_hash", seeded_hash(id_col, seed)).withColumn("_label", stratum)
+    narrow = written(hashed.select("_label", "_hash"), "strata")
+    keyed = narrow.select("_label", "_hash", hash_bucket("_hash", digits).alias("_bucket"))
 
     running = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("_label")
@@ -82,14 +86,14 @@ def _assign_by_cuts(
     # A label has at most as many edges as there are cuts, so this list is short.
     cuts = edges.groupBy("_label").agg(F.sort_array(F.flatten(F.collect_list("_at"))).alias("_cuts"))
     table = totals.join(cuts, "_label", "left").select(
-        F.col("_label").alias(label),
+        "_label",
         F.coalesce("_cuts", F.array().cast("array<string>")).alias("_cuts"),
         F.size(F.filter(cut_ranks, lambda r: r <= 0)).alias("_empty"),
         "_total",
     )
-    assigned = join_key_stats(hashed, table, [label], "_total", max_rows)
+    assigned = join_key_stats(hashed, table, ["_label"], "_total", max_rows)
     beyond = F.size(F.filter("_cuts", lambda c: c < F.col("_hash")))
-    return assigned.withColumn("_part", F.col("_empty") + beyond).drop("_cuts", "_total", "_empty", "_hash")
+    return assigned.withColumn("_part", F.col("_empty") + beyond).drop("_cuts", "_total", "_empty", "_hash", "_label")
 
 
 def stratified_split(
@@ -104,7 +108,7 @@ def stratified_split(
 ) -> DataFrame:
     """Mark each row ``train`` or ``holdout``; the share holds within every label.
 
-    ``id_col`` must be unique.
+    ``id_col`` must be unique. Rows without a label are split like a label of their own.
     """
     train_rows = F.array(F.round(F.col("_total") * F.lit(1 - holdout)).cast("long"))
     split = _assign_by_cuts(df, id_col, label, seed, train_rows, digits, max_rows)
@@ -121,7 +125,10 @@ def stratified_folds(
     digits: int = 4,
     max_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """Number each row's fold from 0 to ``k - 1``; fold sizes differ by at most one row per label."""
+    """Number each row's fold from 0 to ``k - 1``; fold sizes differ by at most one row per label.
+
+    Rows without a label are dealt like a label of their own.
+    """
     if k < 2:
         raise ValueError("k must be at least 2")
     ends = F.array(*[F.ceil(F.col("_total") * j / k).cast("long") for j in range(1, k)])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import real
 from ..operators.ranking import top_rows
 
 # The fields of both result layouts, with parameters kept as JSON text.
@@ -21,6 +22,10 @@ MISSING_SCORE = -1.0
 LOG_COLUMNS = {"gen": "int", "nevals": "int", "avg": "double", "std": "double", "min": "double", "max": "double", "time": "double"}
 
 
+def _struct_fields() -> str:
+    return ",".join(":".join(field.split()) for field in RESULT_FIELDS.split(","))
+
+
 def _whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return (
         spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
@@ -28,19 +33,27 @@ def _whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
-def scan_run_results(spark: SparkSession, root: str, pattern: str = "final_*.json") -> DataFrame:
+def scan_run_results(
+    spark: SparkSession, root: str, pattern: str = "final_*.json", every_element: bool = False
+) -> DataFrame:
     """Every result file below ``root`` as one row, whichever of the two layouts it has.
 
-    A file that holds a list counts with its first element. Missing scores are
-    -1. Files are read whole because each is one small JSON document.
+    A file that holds a list counts with its first element or, with
+    ``every_element``, gives a row for each. Missing and NaN scores are -1.
+    Files are read whole because each is one small JSON document.
     """
     files = _whole_files(spark, root, pattern)
     is_list = F.col("value").rlike(r"^[\s\x{feff}]*\[")
-    element = F.when(is_list, F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
-    parsed = files.select("source_file", F.from_json(element, RESULT_FIELDS).alias("r"))
+    if every_element:
+        listed = F.when(is_list, F.from_json("value", f"array<struct<{_struct_fields()}>>"))
+        single = F.array(F.from_json("value", RESULT_FIELDS))
+        parsed = files.select("source_file", F.explode(F.when(is_list, listed).otherwise(single)).alias("r"))
+    else:
+        element = F.when(is_list, F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
+        parsed = files.select("source_file", F.from_json(element, RESULT_FIELDS).alias("r"))
 
     def score(new: str, old: str):
-        return F.coalesce(f"r.{new}", f"r.{old}", F.lit(MISSING_SCORE))
+        return F.coalesce(real(f"r.{new}"), real(f"r.{old}"), F.lit(MISSING_SCORE))
 
     return parsed.select(
         F.coalesce("r.model", "r.Modelo").alias("model"),
@@ -49,7 +62,7 @@ def scan_run_results(spark: SparkSession, root: str, pattern: str = "final_*.jso
         score("precision_holdout", "Holdout_precision").alias("precision"),
         score("recall_holdout", "Holdout_recall").alias("recall"),
         F.coalesce("r.best_params", "r.Parametros").alias("params"),
-        F.coalesce("r.runtime_seconds", F.lit(0.0)).alias("runtime_seconds"),
+        F.coalesce(real("r.runtime_seconds"), F.lit(0.0)).alias("runtime_seconds"),
         F.coalesce("r.algorithm", F.when(F.col("r.Modelo").isNotNull(), "Evolutionary"), F.lit("Grid/Optuna")).alias(
             "approach"
         ),
@@ -116,3 +129,17 @@ def latest_run(spark: SparkSession, root: str, pattern: str = "*", key=None) ->
     files = list_files(spark, root, pattern)
     key = log_model(F.col("path")) if key is None else key
     return latest_per_key(files.withColumn("key", key).where("key <> ''"), ["key"], ["modificationTime", "path"])
+
+
+def newest_folder(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """The files of the run folder directly below ``root`` that sorts last by name: ``path, modificationTime, run``.
+
+    Run folders carry their time in the name, so the last name is the newest run.
+    """
+    prefix = F.lit(root.rstrip("/").split("/")[-1])
+    files = list_files(spark, root, pattern)
+    below = F.element_at(F.split("path", F.concat(F.lit("/\\Q"), prefix, F.lit("\\E/"))), -1)
+    named = files.withColumn("run", F.split(below, "/"))
+    named = named.where(F.size("run") > 1).withColumn("run", F.get("run", F.lit(0)))
+    newest = named.agg(F.max("run").alias("run"))
+    return named.join(F.broadcast(newest), "run", "left_semi").select("path", "modificationTime", "run")

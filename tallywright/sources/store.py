@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import real
+
 
 def load_or_create(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], numeric: Sequence[str] = ()
@@ -24,5 +26,5 @@ def load_or_create(
         build().write.mode("overwrite").parquet(path)
         stored = spark.read.parquet(path)
     for name in numeric:
-        stored = stored.withColumn(name, F.coalesce(F.col(name).try_cast("double"), F.lit(0.0)))
+        stored = stored.withColumn(name, F.coalesce(real(F.col(name).try_cast("double")), F.lit(0.0)))
     return stored
