@@ -1,151 +1,281 @@
-"""Spark ML classifiers on hashed TF-IDF features, their search and their evaluation."""
+"""Spark ML classifiers on TF-IDF features, their search and their evaluation.
+
+There is one feature per term, found in the training rows. Linear models hold
+one weight per term and class in the driver and in every task, so a vocabulary
+that fits the model fits there too.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import json
+import time
+import warnings
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.base import Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, Word2Vec
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, Word2Vec
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import hit_flag
-from ..functions.text import ngram_tokens, word_tokens
+from ..functions.text import bigrams, ngram_tokens, word_tokens
+from ..session import written
+from .bayes import nb_predictions
 from .encoding import label_codes, label_index, label_name
 from .metrics import class_report, confusion, macro_scores
+from .unions import union_results
 
-# Hashing keeps every term and bounds the model; a fitted vocabulary would have to fit the driver.
-MIN_FEATURES = 1 << 12
-MAX_FEATURES = 1 << 18
-TOLERANCE = 1e-4
-ROWS_PER_TASK = 2_000
-EMBEDDING_BUCKETS = 1 << 16
+#: The optimisers stop when the loss changes by less than this, relatively, or after so many steps, with a warning.
+TOLERANCE, MAX_ITERATIONS = 1e-4, 1_000
+#: Fits that run at a time in a search.
+PARALLEL_FITS = 4
+# Parameters of other optimisers that have no counterpart here and do not change what is fitted.
+WITHOUT_EFFECT = {
+    "solver", "random_state", "n_jobs", "dual", "multi_class", "thread", "verbose", "lrUpdateRate", "bucket", "loss",
+    "minCountLabel", "t", "minn", "maxn", "neg",
+}
+# Parameters with a single supported value.
+ONLY = {"penalty": ("l2",), "class_weight": (None,), "fit_prior": (True,), "class_prior": (None,), "fit_intercept": (True,)}
 
 
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Weights tf by ln((1 + n) / (1 + df)) + 1; Spark's own IDF lacks the + 1."""
+    """Weights tf by ln((1 + n) / (1 + df)) + 1; terms without a document get no weight. Spark's IDF lacks the + 1."""
 
     def __init__(self, inputCol: str = "tf", outputCol: str = "tfidf"):
         super().__init__()
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _fit(self, dataset: DataFrame) -> Model:
-        idf = IDF(inputCol=self.getInputCol(), outputCol=self.getOutputCol()).fit(dataset).idf
+        found = IDF(inputCol=self.getInputCol(), outputCol=self.getOutputCol()).fit(dataset)
+        weights = [idf + 1.0 if df else 0.0 for idf, df in zip(found.idf.toArray(), found.docFreq)]
         return ElementwiseProduct(
-            scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol=self.getInputCol(), outputCol=self.getOutputCol()
+            scalingVec=Vectors.dense(weights), inputCol=self.getInputCol(), outputCol=self.getOutputCol()
         )
 
 
-class MacroF1Evaluator(Evaluator):
-    """Macro F1 over the union of true and predicted labels (Spark's built-in "f1" is weighted)."""
-
-    def __init__(self, labelCol: str = "label_code", predictionCol: str = "prediction"):
-        super().__init__()
-        self.labelCol = labelCol
-        self.predictionCol = predictionCol
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        typed = dataset.select(
-            F.col(self.labelCol).cast("int").alias("t"), F.col(self.predictionCol).cast("int").alias("p")
-        )
-        return float(macro_scores(confusion(typed, "t", "p")).first()["macro_f1"])
+@dataclass(frozen=True)
+class Features:
+    """The feature side of a configuration."""
 
-    def isLargerBetter(self) -> bool:
-        return True
+    max_n: int = 1
+    min_df: float = 1
+    max_df: float | None = None
+    binary: bool = False
+    use_idf: bool = True
+    norm: str | None = "l2"
+    stop_words: tuple[str, ...] = ()
 
 
-def with_terms(df: DataFrame, text: str, max_ngrams: Sequence[int]) -> DataFrame:
-    """One term column per n-gram range asked for."""
-    return df.withColumns({f"terms_{n}": ngram_tokens(text, n) for n in max_ngrams})
+def _value(value):
+    """A parameter's value; stored configurations spell lists, numbers and booleans as text."""
+    if not isinstance(value, str):
+        return value
+    try:
+        return json.loads(value.replace("(", "[").replace(")", "]"))
+    except ValueError:
+        return {"None": None, "True": True, "False": False}.get(value, value)
 
 
-def feature_count(df: DataFrame, terms: str, at_most: int = MAX_FEATURES) -> int:
-    """Hash buckets for the terms of a frame: a power of two near a quarter of the distinct terms.
+def split_configuration(model: str, params: Mapping) -> tuple[Features, dict]:
+    """Features and classifier parameters of a stored configuration.
 
-    Most distinct terms are rare, so few frequent ones share a bucket, while the
-    cost of every optimiser step grows with the bucket count.
+    ``step__`` prefixes are dropped. A parameter that no part of the model
+    knows, or a value that it cannot honour, is an error.
     """
-    distinct = df.select(F.explode(terms).alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-    return min(max(1 << (distinct // 4).bit_length(), MIN_FEATURES), at_most)
+    bare = {key.split("__")[-1]: _value(value) for key, value in params.items()}
+    known = {
+        "LogisticRegression": {"C", "max_iter", "tol"},
+        "SVM": {"C", "max_iter", "tol"},
+        "NaiveBayes": {"alpha"},
+        "FastText": {"lr", "dim", "epoch", "wordNgrams", "ws", "minCount", "C", "partitions"},
+    }
+    kind = {"LinearSVC": "SVM", "MultinomialNB": "NaiveBayes"}.get(model, model)
+    if kind not in known:
+        raise ValueError(f"unknown model {model!r}")
+    if "kernel" in bare and bare.pop("kernel") != "linear":
+        raise ValueError("only linear kernels are supported")
+    features, chosen = {}, {}
+    for key, value in bare.items():
+        if key == "ngram_range":
+            low, high = value
+            if low != 1:
+                raise ValueError(f"unsupported n-gram range {value}")
+            features["max_n"] = high
+        elif key == "max_df" and value == 1.0 and isinstance(value, float):
+            continue
+        elif key == "stop_words":
+            features[key] = tuple(value or ())
+        elif key in Features.__dataclass_fields__:
+            features[key] = value
+        elif key in known[kind]:
+            chosen[key] = value
+        elif key in ONLY:
+            if value not in ONLY[key]:
+                raise ValueError(f"unsupported value {value!r} of {key!r} for {model}")
+        elif key not in WITHOUT_EFFECT:
+            raise ValueError(f"unknown parameter {key!r} of {model}")
+    if kind in ("NaiveBayes", "FastText") and set(features) - {"max_n"}:
+        raise ValueError(f"{model} does not support {sorted(set(features) - {'max_n'})}")
+    return Features(**features), chosen
 
 
 @contextmanager
-def training_rows(df: DataFrame) -> Iterator[tuple[DataFrame, int]]:
-    """Rows an optimiser passes over many times, cached, in no more tasks than they are worth."""
+def cached(df: DataFrame):
+    """Rows that an optimiser passes over many times."""
     data = df.cache()
     try:
-        n_rows = data.count()
-        yield data.coalesce(max(1, n_rows // ROWS_PER_TASK)), n_rows
+        yield data
     finally:
         data.unpersist()
 
 
-def feature_stages(terms: str, num_features: int) -> list:
-    return [
-        HashingTF(inputCol=terms, outputCol="tf", numFeatures=num_features),
-        SmoothIdf(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
-    ]
+def counter(df: DataFrame, terms: str, out: str, features: Features) -> CountVectorizer:
+    """Counts every term of ``df`` (within the bounds on document frequency) as a feature of its own."""
+    distinct = df.select(F.explode(terms).alias("term")).distinct().count()
+    bounds = {"minDF": float(features.min_df)}
+    if features.max_df is not None:
+        bounds["maxDF"] = float(features.max_df)
+    return CountVectorizer(inputCol=terms, outputCol=out, vocabSize=max(distinct, 2), binary=features.binary, **bounds)
+
 
+def feature_stages(df: DataFrame, terms: str, features: Features = Features()) -> list:
+    stages, last = [counter(df, terms, "tf", features)], "tf"
+    if features.use_idf:
+        stages.append(SmoothIdf(inputCol="tf", outputCol="tfidf"))
+        last = "tfidf"
+    if features.norm not in (None, "l1", "l2"):
+        raise ValueError(f"unknown norm {features.norm!r}")
+    if features.norm:
+        stages.append(Normalizer(inputCol=last, outputCol="features", p=float(features.norm[1])))
+    return stages
 
-def logistic_regression(c: float, n_rows: int, max_iter: int = 30) -> LogisticRegression:
+
+def logistic_regression(
+    c: float, n_rows: int, max_iter: int = MAX_ITERATIONS, tol: float = TOLERANCE, features: str = "features"
+) -> LogisticRegression:
     """Penalised as C is meant elsewhere: the loss is summed, so regParam = 1 / (C * rows)."""
     return LogisticRegression(
         labelCol="label_code",
-        featuresCol="features",
+        featuresCol=features,
         regParam=1.0 / (c * n_rows),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=TOLERANCE,
+        tol=tol,
     )
 
 
-def linear_svm(c: float, n_rows: int, max_iter: int = 20) -> OneVsRest:
+def linear_svm(
+    c: float, n_rows: int, max_iter: int = MAX_ITERATIONS, tol: float = TOLERANCE, features: str = "features"
+) -> OneVsRest:
     """One linear SVM per label against the rest."""
-    svm = LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, maxIter=max_iter, tol=TOLERANCE)
-    return OneVsRest(classifier=svm, labelCol="label_code", featuresCol="features", parallelism=4)
+    svm = LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, maxIter=max_iter, tol=tol)
+    return OneVsRest(classifier=svm, labelCol="label_code", featuresCol=features, parallelism=1)
 
 
-def text_classifier(model: str, params: Mapping, train: DataFrame, n_rows: int) -> Pipeline:
-    """The estimator a (model type, parameters) pair describes, sized for the prepared training rows."""
-    if model == "FastText":
-        return embedding_classifier(int(params.get("dim", 100)), int(params.get("epoch", 5)), n_rows)
-    terms = f"terms_{params.get('max_n', 1)}"
-    stages = feature_stages(terms, feature_count(train, terms))
+def linear_classifier(model: str, c: float, n_rows: int, features: str = "features", **options) -> Estimator:
     if model == "LogisticRegression":
-        return Pipeline(stages=[*stages, logistic_regression(float(params.get("C", 1.0)), n_rows)])
+        return logistic_regression(c, n_rows, features=features, **options)
     if model in ("SVM", "LinearSVC"):
-        return Pipeline(stages=[*stages, linear_svm(float(params.get("C", 1.0)), n_rows)])
+        return linear_svm(c, n_rows, features=features, **options)
     raise ValueError(f"unknown model {model!r}")
 
 
-def with_bucket_words(df: DataFrame, text: str, buckets: int = EMBEDDING_BUCKETS) -> DataFrame:
-    """Words replaced by hash buckets, which bounds the embedding table that Word2Vec keeps on the driver."""
-    hashed = F.transform(word_tokens(text), lambda w: F.pmod(F.hash(w), F.lit(buckets)).cast("string"))
-    return df.withColumn("bucket_words", hashed)
+def warn_unconverged(model: Model, max_iter: int, what: str) -> None:
+    """Say so if an optimiser stopped at its last step."""
+    parts = model.models if isinstance(model, OneVsRestModel) else [model]
+    for part in parts:
+        summary = part.summary if not callable(part.summary) else part.summary()
+        if summary.totalIterations >= max_iter:
+            warnings.warn(f"{what} did not converge in {max_iter} steps", stacklevel=2)
 
 
-def embedding_classifier(dim: int = 100, epochs: int = 1, n_rows: int = 1, partitions: int = 8) -> Pipeline:
-    """Averaged word embeddings and a linear classifier."""
+def word_ngrams(text: str | Column, n: int) -> Column:
+    """Words and, up to ``n`` (at most 3), their sequences, as tokens of an embedding."""
+    if n not in (1, 2, 3):
+        raise ValueError("wordNgrams must be 1, 2 or 3")
+    words = word_tokens(text)
+
+    def joined(w: Column) -> Column:
+        parts = [w] + ([bigrams(w)] if n >= 2 else [])
+        if n == 3:
+            size = F.greatest(F.size(w) - 2, F.lit(0))
+            pairs = F.slice(bigrams(w), 1, size)
+            parts.append(F.zip_with(pairs, F.slice(w, 3, size), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.concat(*parts)
+
+    return F.get(F.transform(F.array(words), joined), 0)
+
+
+def embedding_classifier(
+    df: DataFrame,
+    n_rows: int,
+    lr: float = 0.025,
+    dim: int = 100,
+    epoch: int = 5,
+    ws: int = 5,
+    minCount: int = 1,  # noqa: N803 - the stored configurations' name
+    C: float = 1000.0,  # noqa: N803
+    partitions: int | None = None,
+) -> Pipeline:
+    """Averaged embeddings of the column ``words`` and a linear classifier.
+
+    The embeddings are trained in ``partitions`` parts that are averaged after
+    each pass, by default one for each parallel task of the cluster.
+    """
     words = Word2Vec(
-        inputCol="bucket_words",
+        inputCol="words",
         outputCol="features",
-        vectorSize=dim,
-        maxIter=epochs,
-        numPartitions=partitions,
-        minCount=1,
+        vectorSize=int(dim),
+        maxIter=int(epoch),
+        stepSize=float(lr),
+        windowSize=int(ws),
+        numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
+        minCount=int(minCount),
         seed=42,
     )
-    return Pipeline(stages=[words, logistic_regression(1000.0, n_rows)])
+    return Pipeline(stages=[words, logistic_regression(float(C), n_rows)])
+
+
+def text_classifier(model: str, features: Features, params: Mapping, train: DataFrame, n_rows: int) -> Pipeline:
+    """The estimator of a configuration for prepared training rows."""
+    if model == "FastText":
+        chosen = {k: v for k, v in params.items() if k != "wordNgrams"}
+        return embedding_classifier(train, n_rows, **chosen)
+    options = {k: kind(params[k]) for k, kind in (("max_iter", int), ("tol", float)) if k in params}
+    stages = feature_stages(train, "terms", features)
+    classifier = linear_classifier(
+        model, float(params.get("C", 1.0)), n_rows, features=stages[-1].getOutputCol(), **options
+    )
+    return Pipeline(stages=[*stages, classifier])
+
+
+def _linear_predictions(
+    train: DataFrame, holdout: DataFrame, doc_id: str, text: str, label: str, model: str, features: Features, params: Mapping
+) -> DataFrame:
+    """``doc, pred`` for the holdout rows."""
+    codes = written(label_codes(train, label), "label-codes")
+    if model == "FastText":
+        prepared = {"words": word_ngrams(text, int(params.get("wordNgrams", 1)))}
+    else:
+        prepared = {"terms": ngram_tokens(text, features.max_n, features.stop_words)}
+    needed = label_index(train.select(label, text), label).select("label_code", text).withColumns(prepared).drop(text)
+    with cached(needed) as fitting:
+        n_rows = fitting.count()
+        fitted = text_classifier(model, features, params, fitting, n_rows).fit(fitting)
+    warn_unconverged(fitted.stages[-1], int(params.get("max_iter", MAX_ITERATIONS)), model)
+    scored = fitted.transform(holdout.select(F.col(doc_id).alias("doc"), text).withColumns(prepared))
+    coded = scored.select("doc", F.col("prediction").cast("int").alias("_code"))
+    return label_name(coded, codes.withColumnRenamed(label, "pred"), "_code", "pred").select("doc", "pred")
 
 
 def fit_predict(
@@ -157,47 +287,77 @@ def fit_predict(
     model: str,
     params: Mapping | None = None,
     origin: str = "Baseline",
+    run_id: str | None = None,
 ) -> DataFrame:
-    """Fit on ``train`` and predict ``holdout``: one prediction record per holdout row."""
-    params = dict(params or {})
-    codes = label_codes(train, label)
-
-    def prepared(df: DataFrame) -> DataFrame:
-        if model == "FastText":
-            return with_bucket_words(df, text)
-        return with_terms(df, text, [params.get("max_n", 1)])
-
-    needed = prepared(train.select(doc_id, text, label)).drop(text)
-    with training_rows(label_index(needed, label)) as (fitting, n_rows):
-        fitted = text_classifier(model, params, fitting, n_rows).fit(fitting)
-    scored = fitted.transform(prepared(holdout.select(doc_id, text, label)))
-    named = label_name(
-        scored.withColumn("_code", F.col("prediction").cast("int")),
-        codes.withColumnRenamed(label, "classificacao_limpa"),
-        "_code",
-        "classificacao_limpa",
-    )
-    return named.select(
-        F.col(doc_id).cast("string").alias("demanda_id"),
+    """Fit on ``train`` and predict ``holdout``: one prediction record per holdout row.
+
+    Training rows without a label are left out. ``doc_id`` is unique. The
+    predictions are stored; ``tempo_resposta_s`` is the time that took, per row.
+    """
+    features, chosen = split_configuration(model, params or {})
+    train = train.where(F.col(label).isNotNull())
+    start = time.perf_counter()
+    if model in ("NaiveBayes", "MultinomialNB"):
+        rows = train.select(doc_id, text, label, F.lit(1).alias("_fold")).unionByName(
+            holdout.select(doc_id, text, F.coalesce(F.col(label), F.lit("")).alias(label), F.lit(0).alias("_fold"))
+        )
+        found = nb_predictions(
+            rows, doc_id, text, label, "_fold", [0], [features.max_n], [float(chosen.get("alpha", 1.0))]
+        ).select("doc", "pred")
+        stored = written(found, "predictions")
+    else:
+        found = _linear_predictions(train, holdout, doc_id, text, label, model, features, chosen)
+        start = time.perf_counter()
+        stored = written(found, "predictions")
+    seconds = (time.perf_counter() - start) / max(stored.count(), 1)
+    records = holdout.select(F.col(doc_id).alias("doc"), label, text).join(stored, "doc", "left")
+    return records.select(
+        F.col("doc").cast("string").alias("demanda_id"),
         F.col(label).alias("classificacao_real"),
         F.lit(f"ML_{origin}").alias("prompt_id"),
         F.lit(model).alias("modelo_id"),
-        "classificacao_limpa",
-        hit_flag("classificacao_limpa", label).alias("acertou"),
+        F.col("pred").alias("classificacao_limpa"),
+        hit_flag("pred", label).alias("acertou"),
         F.col(text).alias("demanda_texto"),
-        F.col("classificacao_limpa").alias("classificacao_raw"),
-        F.lit(None).cast("double").alias("tempo_resposta_s"),
+        F.col("pred").alias("classificacao_raw"),
+        F.lit(seconds).alias("tempo_resposta_s"),
         F.lit(None).cast("string").alias("erro"),
         F.lit(1).alias("try_count"),
+        F.lit(run_id).cast("string").alias("run_id"),
+        F.lit(origin).alias("origin"),
     )
 
 
+def fit_registry(
+    entries: DataFrame, train: DataFrame, holdout: DataFrame, doc_id: str, text: str, label: str
+) -> DataFrame:
+    """Train every entry of a registry (``run_id, model, params, origin``; params as JSON text) and stack the records."""
+    tables = [
+        fit_predict(
+            train, holdout, doc_id, text, label, e["model"], json.loads(e["params"] or "{}"), e["origin"], e["run_id"]
+        )
+        for e in entries.select("run_id", "model", "params", "origin").orderBy("run_id", "model").collect()
+    ]
+    return union_results(*tables)
+
+
 def holdout_report(predictions: DataFrame) -> DataFrame:
     """Class report of prediction records, per model."""
     counts = confusion(predictions, "classificacao_real", "classificacao_limpa", ["modelo_id"])
     return class_report(counts, ["modelo_id"])
 
 
+def macro_f1(predictions: DataFrame, true: str, pred: str) -> float:
+    return float(macro_scores(confusion(predictions, true, pred)).first()["macro_f1"])
+
+
+def majority_f1(df: DataFrame, label: str) -> float:
+    """Macro F1 of always predicting the most frequent label."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    labels, total, most = counts.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    return 2 * most / (total + most) / labels
+
+
 def grid_cv(
     df: DataFrame,
     text: str,
@@ -206,47 +366,49 @@ def grid_cv(
     model: str,
     max_ngrams: Sequence[int] = (1, 2),
     cs: Sequence[float] = (0.1, 1.0, 10.0),
-    parallelism: int = 8,
-    max_iter: int = 30,
-    max_features: int = MAX_FEATURES,
+    parallelism: int = PARALLEL_FITS,
+    max_iter: int = MAX_ITERATIONS,
+    tol: float = TOLERANCE,
 ) -> DataFrame:
     """Mean macro F1 over the folds of every (n-gram range, C), best first.
 
-    Features are fitted inside each training fold. The folds come from a column,
-    so they can be stratified.
+    Terms are counted once per n-gram range. The weights of terms are fitted
+    once per training fold, where unseen terms get none, and serve every C.
+    Folds come from a column, so they can be stratified. Rows without a label
+    are left out.
     """
-    named = with_terms(df.select(text, label, F.col(fold).cast("int").alias("fold")), text, max_ngrams).drop(text)
-    buckets = feature_count(named, f"terms_{max(max_ngrams)}", max_features)
-    data = label_index(named, label)
-    # Hashing does not depend on the fold, so it is done once; IDF is fitted inside each training fold.
-    for n in max_ngrams:
-        data = HashingTF(inputCol=f"terms_{n}", outputCol=f"tf_{n}", numFeatures=buckets).transform(data)
-    with training_rows(data.select("label_code", "fold", *[f"tf_{n}" for n in max_ngrams])) as (rows, n_rows):
-        n_folds = rows.agg(F.max("fold")).first()[0] + 1
-        n_train = n_rows * (n_folds - 1) // n_folds
-        idf = SmoothIdf(inputCol="tf_1", outputCol="tfidf")
-        norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
-        grid = ParamGridBuilder().addGrid(idf.inputCol, [f"tf_{n}" for n in max_ngrams])
-        if model == "LogisticRegression":
-            classifier = logistic_regression(1.0, n_train, max_iter)
-            grid = grid.addGrid(classifier.regParam, [1.0 / (c * n_train) for c in cs])
-        elif model in ("SVM", "LinearSVC"):
-            classifier = linear_svm(1.0, n_train, max_iter)
-            grid = grid.addGrid(
-                classifier.classifier, [linear_svm(c, n_train, max_iter).getClassifier() for c in cs]
-            )
-        else:
-            raise ValueError(f"unknown model {model!r}")
-        search = CrossValidator(
-            estimator=Pipeline(stages=[idf, norm, classifier]),
-            estimatorParamMaps=grid.build(),
-            evaluator=MacroF1Evaluator(),
-            numFolds=n_folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-        means = search.fit(rows).avgMetrics
-    configs = [(n, float(c)) for n in max_ngrams for c in cs]
-    rows = [(model, n, c, float(mean)) for (n, c), mean in zip(configs, means)]
-    result = df.sparkSession.createDataFrame(rows, "model string, max_n int, C double, mean_score double")
-    return result.orderBy(F.col("mean_score").desc(), "max_n", "C")
+    spark = df.sparkSession
+    named = df.where(F.col(label).isNotNull()).select(text, label, F.col(fold).cast("int").alias("fold"))
+    terms = {n: f"terms_{n}" for n in max_ngrams}
+    named = named.withColumns({terms[n]: ngram_tokens(text, n) for n in max_ngrams}).drop(text)
+    with cached(label_index(named, label).drop(label)) as rows:
+        folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+        scores = {}
+        for n in max_ngrams:
+            counted = counter(rows, terms[n], "tf", Features()).fit(rows).transform(rows)
+            with cached(counted.select("label_code", "fold", "tf")) as table:
+                table.count()
+
+                def fits(f: int, n: int = n, table: DataFrame = table) -> None:
+                    train, valid = table.where(F.col("fold") != f), table.where(F.col("fold") == f)
+                    idf = SmoothIdf(inputCol="tf", outputCol="tfidf").fit(train)
+                    norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
+                    with cached(norm.transform(idf.transform(train)).select("label_code", "features")) as fitting:
+                        n_train = fitting.count()
+                        for c in cs:
+                            fitted = linear_classifier(model, c, n_train, max_iter=max_iter, tol=tol).fit(fitting)
+                            warn_unconverged(fitted, max_iter, f"{model} (C={c}, n={n}, fold {f})")
+                            found = fitted.transform(norm.transform(idf.transform(valid)))
+                            found = found.select("label_code", F.col("prediction").cast("int").alias("code"))
+                            scores[n, c, f] = macro_f1(found, "label_code", "code")
+
+                # Each fit gets a copy of the session's properties of its own.
+                with ThreadPoolExecutor(parallelism) as pool:
+                    done = [pool.submit(inheritable_thread_target(spark)(fits), f) for f in folds]
+                    for job in done:
+                        job.result()
+    result = [
+        (model, n, float(c), sum(scores[n, c, f] for f in folds) / len(folds), len(folds)) for n in max_ngrams for c in cs
+    ]
+    table = spark.createDataFrame(result, "model string, max_n int, C double, mean_score double, n_folds int")
+    return table.orderBy(F.col("mean_score").desc(), "max_n", "C")

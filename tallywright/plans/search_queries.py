@@ -309,7 +309,7 @@ def random_configs(spark, sf_dir):
   p_retailprice AS runtime_seconds FROM part WHERE p_size % 2 = 0),
 own AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part WHERE p_size % 2 = 1),
 evolved AS (SELECT p_brand, 'Evolutionary', p_partkey, p_size / CAST(50 AS DOUBLE),
-  CASE WHEN p_size > 25 THEN p_retailprice ELSE 0 END FROM own),
+  CASE WHEN p_size > 25 OR p_size <= 15 THEN p_retailprice ELSE 0 END FROM own),
 runs AS (SELECT * FROM searched UNION ALL SELECT * FROM evolved),
 w AS (SELECT *, max(f1) OVER (PARTITION BY approach ORDER BY runtime_seconds, f1 DESC, run_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runs WHERE runtime_seconds > 0.01)
@@ -332,7 +332,7 @@ def search_comparison(spark, sf_dir):
         own = part.where("size % 2 = 1")
         summary = own.select("model", F.lit("Evolutionary").alias("approach"), "run_id", "f1")
         evaluations = own.where("size > 25").select("run_id", F.col("price").alias("runtime_seconds"))
-        logs = own.where("size > 50").select("run_id", F.col("price").alias("time"))
+        logs = own.where("size <= 15").select("run_id", F.col("price").alias("time"))
         return unions.union_results(searched, runtime_lookup(summary, evaluations, logs, "run_id"))
 
     runs = load_or_create(spark, scratch_path(spark, "comparison"), build, ["f1", "runtime_seconds"])

@@ -160,6 +160,32 @@ def latest_run(spark, sf_dir):
     return runs.latest_per_key(events, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
+@query("latest_run_files", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def latest_run_files(spark, sf_dir):
+    """The newest file of each key, found among files, read."""
+    root = scratch_path(spark, "run-files")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), "event_type")
+    events.repartition("kind").write.partitionBy("kind").parquet(root)
+    newest = runs.latest_run(spark, root, "*.parquet", F.regexp_extract("path", "kind=([^/]+)", 1))
+    paths = [r["path"] for r in newest.select("path").collect()]
+    return spark.read.parquet(*paths).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "newest_run_folder",
+    """SELECT 'run=' || max(replace(p_brand, '#', '')) AS run,
+  (SELECT count(*) FROM part WHERE p_brand = (SELECT max(p_brand) FROM part)) AS n FROM part""",
+)
+def newest_run_folder(spark, sf_dir):
+    """The rows of the newest run folder."""
+    root = scratch_path(spark, "run-folders")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.translate("p_brand", "#", "").alias("run"))
+    part.write.partitionBy("run").parquet(root)
+    files = runs.newest_folder(spark, root, "*.parquet").select("path", "run").collect()
+    rows = spark.read.parquet(*[f["path"] for f in files])
+    return rows.agg(F.lit(files[0]["run"]).alias("run"), F.count(F.lit(1)).alias("n"))
+
+
 def answer_records(spark, sf_dir):
     """Free-form answers in the prediction record's columns."""
     from ..functions.labels import clean_answer, hit_flag

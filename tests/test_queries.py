@@ -4,9 +4,7 @@ import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
-
-# Searches that train dozens of models; tests/check_queries.py runs them.
-SLOW = {"grid_cv", "grid_cv_svm", "fit_predict", "holdout_report", "linear_svm"}
+from tallywright.plans.catalogue import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +12,12 @@ def duck(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in oracle_sql() if n in QUERIES))
 def test_matches_sql(spark, sf_dir, duck, name):
     assert compare(queries()[name](spark, sf_dir), duck, oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(oracle_sql())))
 def test_gives_rows(spark, sf_dir, name):
     assert queries()[name](spark, sf_dir).count() > 0
 

@@ -92,24 +92,62 @@ def test_classifiers_learn(spark):
     words = {"A": "gato cachorro pato", "B": "carro moto trem"}
     rows = [(i, f"{words[c]} {i % 7}x", c) for i, c in enumerate("AB" * 30)]
     df = spark.createDataFrame(rows, "id long, text string, label string")
-    for model in ("LogisticRegression", "SVM"):
-        records = classifiers.fit_predict(df.where("id < 40"), df.where("id >= 40"), "id", "text", "label", model)
+    train, holdout = df.where("id < 40"), df.where("id >= 40")
+    unlabelled = train.unionByName(spark.createDataFrame([(99, "gato", None)], df.schema))
+    for model, params in (
+        ("LogisticRegression", {"clf__C": 2.0, "tfidf__ngram_range": "(1, 2)", "tfidf__use_idf": "False"}),
+        ("SVM", {"tfidf__norm": None, "tfidf__min_df": 2}),
+        ("NaiveBayes", {"nb__alpha": "0.5"}),
+    ):
+        records = classifiers.fit_predict(unlabelled, holdout, "id", "text", "label", model, params, "grid", "r1")
         assert records.columns[:6] == [
             "demanda_id", "classificacao_real", "prompt_id", "modelo_id", "classificacao_limpa", "acertou",
         ]
         assert records.agg(F.min("acertou"), F.count("*")).first()[:] == (1, 20)
+        row = records.first()
+        assert row["tempo_resposta_s"] > 0 and (row["run_id"], row["origin"]) == ("r1", "grid")
     best = classifiers.grid_cv(
         df.withColumn("fold", (F.col("id") / 2 % 3).cast("int")), "text", "label", "fold", "LogisticRegression",
-        max_ngrams=(1,), cs=(1.0,), max_iter=5,
+        max_ngrams=(1,), cs=(1.0,),
     ).first()
-    assert best["mean_score"] == 1.0
-    with pytest.raises(ValueError, match="unknown model"):
-        classifiers.text_classifier("nope", {}, df.withColumn("terms_1", F.split("text", " ")), 60)
+    assert (best["mean_score"], best["n_folds"]) == (1.0, 3)
+    assert classifiers.majority_f1(df, "label") == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize(
+    ("model", "params", "message"),
+    [
+        ("nope", {}, "unknown model"),
+        ("SVM", {"svm__gamma": 1}, "unknown parameter"),
+        ("SVM", {"kernel": "rbf"}, "linear kernels"),
+        ("SVM", {"penalty": "l1"}, "unsupported value"),
+        ("NaiveBayes", {"tfidf__min_df": 2}, "does not support"),
+        ("SVM", {"ngram_range": "[2,2]"}, "n-gram range"),
+    ],
+)
+def test_unsupported_parameters_are_refused(model, params, message):
+    with pytest.raises(ValueError, match=message):
+        classifiers.split_configuration(model, params)
+
+
+def test_stored_parameters_are_decoded():
+    features, chosen = classifiers.split_configuration(
+        "LogisticRegression",
+        {"tfidf__ngram_range": "[1,2]", "tfidf__binary": "true", "tfidf__max_df": 1.0, "clf__C": 10, "clf__solver": "lbfgs"},
+    )
+    assert features == classifiers.Features(max_n=2, binary=True) and chosen == {"C": 10}
+
+
+def test_unseen_terms_have_no_weight(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["a"],), (["c"],)], "terms array<string>")
+    counted = classifiers.counter(df, "terms", "tf", classifiers.Features()).fit(df).transform(df)
+    idf = classifiers.SmoothIdf(inputCol="tf").fit(counted.limit(0).unionByName(counted.where("array_contains(terms, 'a')")))
+    assert [float(v) for r in idf.transform(counted).where("terms[0] = 'c'").collect() for v in r["tfidf"].toArray()] == [0.0] * 3
 
 
 def test_smooth_idf(spark):
     df = spark.createDataFrame([(["a", "b"],), (["a"],)], "terms array<string>")
-    hashed, idf, norm = classifiers.feature_stages("terms", 64)
-    tf = hashed.transform(df)
+    counts, idf, norm = classifiers.feature_stages(df, "terms")
+    tf = counts.fit(df).transform(df)
     weights = sorted({round(float(v), 6) for r in idf.fit(tf).transform(tf).collect() for v in r["tfidf"].values})
     assert weights == [1.0, round(1 + 0.4054651, 6)]
