@@ -8,10 +8,14 @@ Candidates never multiply within a bucket:
 
 1. documents with equal shingle sets are one class from the start,
 2. each class is checked against the smallest class of its buckets,
-3. then against the smallest class of every bucket it is not yet connected to,
+3. in a few rounds, classes outside their bucket's largest component are checked
+   against some member of that component, another one in each round,
 4. classes of buckets that still hold several components are joined exactly:
    two sets that are similar enough share one of their rarest shingles (prefix
-   filter), and classes of one component are not compared.
+   filter), early enough for the rest to suffice (positional filter), and
+   classes of one component are not compared.
+
+The rounds only save work: step 4 finds every link that is left in a bucket.
 
 Every link is confirmed on the full sets; components come from the links.
 """
@@ -35,6 +39,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 #: 30 bands of 4 values: a pair at a similarity of 0.75 is missed once in 90,000 times, at 0.8 once in 5 million.
 BANDS, BAND_VALUES = 30, 4
+ROUNDS = 2
 SLICE_BYTES = 1 << 20
 BASE_SCHEMA = "doc_id long, twin long, row long, n_shingles long, d0 long, d1 long, bands array<long>"
 
@@ -160,17 +165,40 @@ def _prefix_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataF
     counts = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "open-counts")
     ranked = rows.join(counts, "s").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = written(ranked.where((F.col("at") <= reach) & (F.col("df") > 1)).select("s", "node", "label", "n"), "prefixes")
+    kept = ranked.where((F.col("at") <= reach) & (F.col("df") > 1))
+    prefix = written(kept.select("s", "node", "label", "n", (F.col("n") - F.col("at")).alias("after")), "prefixes")
     per_label = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"))
     major = per_label.groupBy("s").agg(F.max(F.struct("k", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"))
     major = written(major.where("labels > 1").drop("labels"), "mixed-shingles")
     mixed_rows = prefix.join(major, "s")
-    minor = mixed_rows.where("label != major").select("s", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"))
-    every = mixed_rows.select("s", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"))
-    pairs = minor.join(every, "s").where("lu != lv").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    minor = mixed_rows.where("label != major").select("s", *[F.col(c).alias(f"{c}_u") for c in ("node", "label", "n", "after")])
+    every = mixed_rows.select("s", *[F.col(c).alias(f"{c}_v") for c in ("node", "label", "n", "after")])
+    # For the first shingle that two sets share, it and all that follow must be enough for the intersection.
+    enough = (F.least("after_u", "after_v") + 1) * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
+    sizes = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+    same = minor["s"] == every["s"]
+    pairs = minor.join(every, same & (F.col("label_u") != F.col("label_v")) & sizes & enough)
+    pairs = pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _open_keys(named: DataFrame) -> DataFrame:
+    """Keys of buckets (``key, label``) that hold several components."""
+    return named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
+
+
+def _open_pairs(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Each class outside its bucket's largest component, with one member of that component."""
+    named = written(_labelled(buckets.select("key", "node"), labels, "node", "label"), "open-members")
+    order = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("draw"), "node")
+    parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("some"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "label", "some")).alias("major"), F.count(F.lit(1)).alias("k"))
+    largest = written(largest.where("k > 1").select("key", "major"), "open-buckets")
+    pairs = named.join(largest, "key").where(F.col("label") != F.col("major.label"))
+    other = F.col("major.some.node")
+    return pairs.select(F.least("node", other).alias("u"), F.greatest("node", other).alias("v")).distinct()
+
+
 def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Component labels from the links among the members of buckets (``key, node, leader``)."""
     others = buckets.where("node != leader")
@@ -179,15 +207,18 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links = written(_confirmed(pairs, sets, percent), "links-first")
     labels = written(component_labels(links), "labels-first")
 
-    rest = others.select("leader", "node").distinct().join(first, ["node", "leader"], "left_anti")
-    rest = _labelled(_labelled(rest, labels, "node", "ln"), labels, "leader", "ll").where("ln != ll")
-    pairs = written(rest.select(F.col("leader").alias("u"), F.col("node").alias("v")), "pairs-second")
-    if not pairs.isEmpty():
-        links = written(links.unionByName(_confirmed(pairs, sets, percent)), "links-second")
-        labels = written(component_labels(links), "labels-second")
-
-    named = written(_labelled(others, labels, "node", "label"), "open-members")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
+    for turn in range(ROUNDS):
+        pairs = written(_open_pairs(buckets, labels, turn), "pairs-round")
+        if pairs.isEmpty():
+            return labels
+        found = written(_confirmed(pairs, sets, percent), "links-round")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = written(component_labels(links), "labels-round")
+
+    named = _labelled(buckets.select("key", "node"), labels, "node", "label")
+    open_keys = _open_keys(named)
     open_nodes = written(named.join(open_keys, "key", "left_semi").select("node", "label").distinct(), "open-nodes")
     if not open_nodes.isEmpty():
         pairs = written(_prefix_pairs(open_nodes, sets, percent), "pairs-third")
