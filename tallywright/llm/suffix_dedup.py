@@ -22,8 +22,8 @@ from .common import load
 from .induced import ROUND, sort_suffixes
 
 WINDOW, GRAM = 200, 50
-SHARD_BYTES = 4 << 20
-HOT_ROUTE = 20_000
+SHARD_BYTES = 3 << 19
+HOT_ROUTE = 2_000
 PLACES = ("doc_id", "twin", "start", "windows", "copies")
 
 
