@@ -34,7 +34,7 @@ from .common import load, prefix_sums, shuffle_tasks, whole_text
 PART_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).min
 #: Distinct pieces and words remembered per Python worker, and the longest piece remembered.
-MEMORY_PIECES, MEMORY_WORDS, MEMORY_CHARS = 300_000, 600_000, 64
+MEMORY_PIECES, MEMORY_WORDS, MEMORY_CHARS = 400_000, 1_200_000, 64
 #: Printable Latin text, which normalisation only lower-cases; and the vocabulary's words (fixed values of its file).
 PLAIN = regex.compile(r"[!-~\u00a1-\u024f]+").fullmatch
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
