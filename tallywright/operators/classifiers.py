@@ -35,7 +35,7 @@ from .metrics import class_report, confusion, macro_scores
 from .unions import union_results
 
 #: The optimisers stop when the loss changes by less than this, relatively, or after so many steps, with a warning.
-TOLERANCE, MAX_ITERATIONS = 1e-4, 1_000
+TOLERANCE, MAX_ITERATIONS = 1e-3, 1_000
 #: Fits that run at a time in a search.
 PARALLEL_FITS = 4
 # Parameters of other optimisers that have no counterpart here and do not change what is fitted.
