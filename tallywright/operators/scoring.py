@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,21 +36,29 @@ def score_one(scorer: Scorer, model: str, prompt: str, base_backoff: float) -> t
 
 
 def score_batch(
-    df: DataFrame, scorer: Scorer, model: str = "model_id", prompt: str = "prompt", base_backoff: float = 1.0
+    df: DataFrame,
+    scorer: Scorer,
+    model: str = "model_id",
+    prompt: str = "prompt",
+    base_backoff: float = 1.0,
+    calls_at_a_time: int = 8,
 ) -> DataFrame:
     """Add raw_text, tempo_s, erro and try_count for every row.
 
     Only the model and the prompt cross over to Python; all other columns stay in
-    the JVM. A lost executor repeats its calls, so write the result (see
+    the JVM. Each task keeps ``calls_at_a_time`` calls going, so that one that
+    waits to try again does not hold up the others; the scorer must allow it.
+    A lost executor repeats its calls, so write the result (see
     ``append_results``) before using it further.
     """
 
     @F.pandas_udf(OUTCOME)
     def outcome(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         names = ["raw_text", "tempo_s", "erro", "try_count"]
-        for models, prompts in batches:
-            rows = [score_one(scorer, m, p, base_backoff) for m, p in zip(models, prompts)]
-            yield pd.DataFrame(rows, columns=names).astype({"try_count": "int32", "tempo_s": "float64"})
+        with ThreadPoolExecutor(calls_at_a_time) as pool:
+            for models, prompts in batches:
+                rows = list(pool.map(lambda call: score_one(scorer, *call, base_backoff), zip(models, prompts)))
+                yield pd.DataFrame(rows, columns=names).astype({"try_count": "int32", "tempo_s": "float64"})
 
     scored = df.withColumn("_outcome", outcome.asNondeterministic()(F.col(model), F.col(prompt)))
     return scored.select(*df.columns, "_outcome.*")

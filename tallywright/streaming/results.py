@@ -43,15 +43,16 @@ def count_incoming(
 ) -> None:
     """Keep confusion counts up to date as rows arrive.
 
-    The state holds one row per (group, true, predicted). Each batch rewrites the
-    counts under ``state/epoch=<n>``; a repeated batch overwrites its own folder.
+    The state holds one row per (group, true, predicted). Batches write the
+    counts to two folders in turn, so a repeated batch overwrites its own and
+    the counts before it stay readable meanwhile.
     """
     counts = stream.groupBy(
         *groups, F.col(true).alias("true_label"), F.col(pred).alias("pred_label")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum(latency).alias("seconds"), F.count(latency).alias("timed"))
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{state}/turn={epoch % 2}")
 
     query = (
         counts.writeStream.outputMode("complete")
@@ -67,7 +68,7 @@ def current_counts(spark: SparkSession, state: str) -> DataFrame:
     """The counts after the last batch."""
     epochs = spark.read.parquet(state)
     last = epochs.agg(F.max("epoch")).first()[0]
-    return epochs.where(F.col("epoch") == last).drop("epoch")
+    return epochs.where(F.col("epoch") == last).drop("epoch", "turn")
 
 
 def running_leaderboard(spark: SparkSession, state: str, groups: Sequence[str]) -> DataFrame:

@@ -129,6 +129,36 @@ def test_append(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_unfit_separators_are_refused(spark, tmp_path):
+    path = put(tmp_path / "in.csv", "abc\n1\n")
+    for read in (delimited.load_sheet_sniff_delimiter, delimited.read_results_pipe):
+        with pytest.raises(ValueError, match="two columns"):
+            read(spark, path)
+
+
+def test_every_element_and_nan_scores(spark, tmp_path):
+    results = [{"model": "SVM", "f1_holdout": 0.5}, {"model": "NB", "f1_holdout": "NaN"}]
+    put(tmp_path / "runs/a/final_all.json", json.dumps(results))
+    put(tmp_path / "runs/b/final_one.json", json.dumps({"Modelo": "LR", "Holdout_F1": 0.7}))
+    found = runs.scan_run_results(spark, str(tmp_path / "runs"), every_element=True)
+    assert sorted((r["model"], r["f1"]) for r in found.collect()) == [("LR", 0.7), ("NB", -1.0), ("SVM", 0.5)]
+    assert sorted(r["model"] for r in runs.scan_run_results(spark, str(tmp_path / "runs")).collect()) == ["LR", "SVM"]
+
+
+def test_newest_folder(spark, tmp_path):
+    for run in ("run_20250101_1", "run_20250102_9", "run_20250103_2"):
+        put(tmp_path / f"out/{run}/sub/log.csv", "x")
+    newest = runs.newest_folder(spark, str(tmp_path / "out"), "*.csv").collect()
+    assert [(r["run"], r["path"].endswith("run_20250103_2/sub/log.csv")) for r in newest] == [("run_20250103_2", True)]
+
+
+def test_stored_nan_becomes_zero(spark, tmp_path):
+    rows = load_or_create(
+        spark, str(tmp_path / "t"), lambda: spark.createDataFrame([("NaN",), ("0.5",)], "score string"), ["score"]
+    )
+    assert sorted(r["score"] for r in rows.collect()) == [0.0, 0.5]
+
+
 def test_load_prompts(spark, tmp_path):
     path = put(tmp_path / "p.jsonl", '{"id": "x", "template": "diga {demanda}"}\n')
     assert load_prompts(spark, path) == [{"id": "x", "template": "diga {demanda}"}]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallywright.operators import bayes, features, ranking, sampling, sizing, windows
+from tallywright.operators import aggregates, bayes, features, filters, ranking, sampling, sizing, windows
 from tallywright.plans.derived import fold_documents
 
 
@@ -92,6 +92,34 @@ def test_champions_keep_first_on_ties(spark):
     assert sorted(r["k"] for r in windows.champions(df, ["m"], "s", ["k"]).collect()) == ["a", "c"]
 
 
+def test_nan_never_wins(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("m", 1.0, 0.5, "a"), ("m", 2.0, nan, "b"), ("m", 3.0, 0.95, "c")], "m string, t double, s double, k string")
+    assert [r["k"] for r in windows.champions(df, ["m"], "s", ["k"]).collect()] == ["c"]
+    assert sorted(r["k"] for r in windows.pareto_frontier(df, "t", "s", ["m"]).collect()) == ["a", "c"]
+    assert [r["k"] for r in windows.best_overall(df, "s", "s", ["k"]).collect()] == ["c"]
+    assert filters.valid_scores(df, "s").count() == 2
+    assert aggregates.best_per_strategy(df, ["m"], "s").first()["best_score"] == 0.95
+    share = df.agg(filters.high_quality_share(F.col("s") * 10)).first()[0]
+    assert share == pytest.approx(200 / 3)
+
+
+def test_unlabelled_rows_are_split_and_dealt(spark):
+    df = spark.range(100).withColumn("label", F.when(F.col("id") < 50, "x"))
+    split = sampling.stratified_split(df, "id", "label")
+    counts = {(r["label"], r["part"]): r["count"] for r in split.groupBy("label", "part").count().collect()}
+    assert counts == {("x", "train"): 40, ("x", "holdout"): 10, (None, "train"): 40, (None, "holdout"): 10}
+    folded = sampling.stratified_folds(df, "id", "label")
+    assert {r["count"] for r in folded.groupBy("label", "fold").count().collect()} == {10}
+
+
+def test_hot_group_in_a_narrow_range_is_cut(spark):
+    hot = spark.range(9000).select(F.lit(0).alias("g"), (F.col("id") / 1e6).alias("v"), "id")
+    rest = spark.range(9000, 10000).select((F.col("id") % 50 + 1).cast("int").alias("g"), F.col("id").cast("double").alias("v"), "id")
+    celled, cut = ranking.with_cells(hot.unionByName(rest), ["g"], ["v", "id"], 500)
+    assert cut and celled.groupBy("g", "_cell").count().agg(F.max("count")).first()[0] <= 1000
+
+
 def test_top_rows_are_limited_before_the_shuffle(events, capsys):
     ranking.top_rows(events, ["g"], [F.col("v").desc(), F.col("event_id")], 3).explain()
     plan = capsys.readouterr().out
