@@ -37,7 +37,7 @@ from .segments import NO_ID, gram_hashes, identified, mixed, split_documents
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-#: 30 bands of 4 values: a pair at a similarity of 0.75 is missed once in 90,000 times, at 0.8 once in 5 million.
+#: 30 bands of 4 values: a pair at a similarity of 0.75 is missed once in 90,000 times, at 0.8 once in 7 million.
 BANDS, BAND_VALUES = 30, 4
 ROUNDS = 2
 SLICE_BYTES = 1 << 20
