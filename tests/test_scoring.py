@@ -1,6 +1,7 @@
 """Scoring, attempts, streams and classifiers."""
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tallywright.operators import classifiers, scoring
@@ -114,6 +115,25 @@ def test_classifiers_learn(spark):
     assert classifiers.majority_f1(df, "label") == pytest.approx(1 / 3)
 
 
+def test_optimisers_do_not_stop_before_a_rare_label_is_learned(spark):
+    def features(i):
+        if i == 0:
+            return Vectors.sparse(15, [(2, 0.7), (3, 0.7)])
+        common = 0 if (i * 7 % 10 < 8) == (i % 2 == 0) else 1
+        other = 2 if i % 30 == 4 else 3 if i % 30 == 9 else 4 + i % 11
+        return Vectors.sparse(15, [(common, 0.7), (other, 0.7)])
+
+    n = 10_000
+    rows = [(i, 2.0 if i == 0 else float(i % 2), features(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, ["id", "label_code", "features"]).coalesce(1).cache()
+    found = {}
+    for tol in ({"tol": 1e-3}, {}):
+        fitted = classifiers.logistic_regression(15.0, n, **tol).fit(df)
+        found[len(tol)] = classifiers.macro_f1(fitted.transform(df), "label_code", "prediction")
+    df.unpersist()
+    assert found[1] < 0.6 and found[0] > 0.85
+
+
 @pytest.mark.parametrize(
     ("model", "params", "message"),
     [
