@@ -107,6 +107,18 @@ def test_near_duplicates_prefix_join_finds_all(make, monkeypatch):
     assert {i: labels.get(i, i) for i, _ in docs} == {i: v[1] for i, v in expected.items()}
 
 
+def test_near_duplicates_links_short_texts_that_share_no_band(make):
+    draw, hashing = random.Random(4), minhash.MinMax(minhash.BANDS, minhash.BAND_VALUES)
+    longer = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(8)) for _ in range(30_000)]
+    pairs = [(t, t.rsplit(" ", 1)[0]) for t in longer]
+    keys = [hashing.keys(minhash.shingle_sets([p[k].encode() for p in pairs], 5)) for k in (0, 1)]
+    apart = [p for p, a, b in zip(pairs, *keys) if not set(a.tolist()) & set(b.tolist())]
+    assert apart
+    docs = [(i, t) for i, t in enumerate(t for p in apart for t in p)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(make(docs)).collect()}
+    assert got == {i: (4 - i % 2, i - i % 2) for i, _ in docs}
+
+
 def test_near_duplicates_nulls_and_repeats(make):
     text = words(3, 50)
     docs = make([(None, text), (4, text), (4, text), (2, text + " more"), (None, None), (9, words(8, 50))])
