@@ -39,12 +39,15 @@ TOLERANCE, MAX_ITERATIONS = 1e-4, 1_000
 #: Fits that run at a time in a search.
 PARALLEL_FITS = 4
 # Parameters of other optimisers that have no counterpart here and do not change what is fitted.
-WITHOUT_EFFECT = {
-    "solver", "random_state", "n_jobs", "dual", "multi_class", "thread", "verbose", "lrUpdateRate", "bucket", "loss",
-    "minCountLabel", "t", "minn", "maxn", "neg",
-}
+WITHOUT_EFFECT = {"solver", "dual", "random_state", "n_jobs", "thread", "verbose", "lrUpdateRate"}
 # Parameters with a single supported value.
 ONLY = {"penalty": ("l2",), "class_weight": (None,), "fit_prior": (True,), "class_prior": (None,), "fit_intercept": (True,)}
+# The same for one model. Embeddings are of whole words, without hash buckets, subsampling or negative samples.
+ONLY_OF = {
+    "LogisticRegression": {"multi_class": ("auto", "multinomial")},
+    "SVM": {"loss": ("hinge",), "multi_class": ("ovr",)},
+    "FastText": {"loss": ("softmax",), "minn": (0,), "maxn": (0,), "neg": (0,), "t": (0,), "bucket": (0,), "minCountLabel": (0, 1)},
+}
 
 
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -118,8 +121,8 @@ def split_configuration(model: str, params: Mapping) -> tuple[Features, dict]:
             features[key] = value
         elif key in known[kind]:
             chosen[key] = value
-        elif key in ONLY:
-            if value not in ONLY[key]:
+        elif key in (only := ONLY | ONLY_OF.get(kind, {})):
+            if value not in only[key]:
                 raise ValueError(f"unsupported value {value!r} of {key!r} for {model}")
         elif key not in WITHOUT_EFFECT:
             raise ValueError(f"unknown parameter {key!r} of {model}")

@@ -150,6 +150,26 @@ def test_unsupported_parameters_are_refused(model, params, message):
         classifiers.split_configuration(model, params)
 
 
+@pytest.mark.parametrize(
+    ("model", "key", "refused", "honoured"),
+    [
+        ("SVM", "loss", "squared_hinge", "hinge"),
+        ("FastText", "loss", "hs", "softmax"),
+        ("FastText", "minn", 2, 0),
+        ("FastText", "maxn", "5", "0"),
+        ("FastText", "neg", 5, 0),
+        ("FastText", "t", 1e-4, 0),
+        ("FastText", "bucket", 2_000_000, 0),
+        ("FastText", "minCountLabel", 3, 1),
+        ("LogisticRegression", "multi_class", "ovr", "multinomial"),
+    ],
+)
+def test_parameters_that_change_the_fit_are_not_ignored(model, key, refused, honoured):
+    assert classifiers.split_configuration(model, {key: honoured}) == (classifiers.Features(), {})
+    with pytest.raises(ValueError, match="unsupported value"):
+        classifiers.split_configuration(model, {key: refused})
+
+
 def test_stored_parameters_are_decoded():
     features, chosen = classifiers.split_configuration(
         "LogisticRegression",
