@@ -80,3 +80,11 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     while column in docs.columns:
         column += "_"
     return written(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a short ASCII string, byte by byte and bit by bit."""
+    bit = "lambda c, z: xor(c >> 1, CASE c & 1 WHEN 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), {byte}), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, fm_index, minhash, mixing, quality, ranked_search, sharding, suffix_dedup, token_files
+from . import bpe, chat, exact_dedup, fm_index, minhash, mixing, quality, ranked_search, repair, sharding, suffix_dedup, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_byte_bpe": bpe.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
+    "op11_conversation_repair": repair.query,
     "op13_ranked_search": ranked_search.query,
 }
 
@@ -25,5 +26,6 @@ SQL = {
     "op6_minhash_near_dedup": minhash.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_conversation_repair": repair.SQL,
     "op13_ranked_search": ranked_search.SQL,
 }
