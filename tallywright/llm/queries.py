@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, fm_index, minhash, mixing, quality, ranked_search, repair, sharding, suffix_dedup, token_files
+from . import (
+    bpe,
+    chat,
+    exact_dedup,
+    fm_index,
+    lm_scoring,
+    minhash,
+    mixing,
+    quality,
+    ranked_search,
+    repair,
+    sharding,
+    suffix_dedup,
+    token_files,
+)
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -16,6 +30,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
     "op11_conversation_repair": repair.query,
+    "op12_lm_scoring": lm_scoring.query,
     "op13_ranked_search": ranked_search.query,
 }
 
