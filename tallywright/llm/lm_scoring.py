@@ -9,31 +9,33 @@ coded symbol corrects; a table from confidence to hit rate, corrected the same
 way, refines the mix. The sum of the logarithms is the text's probability.
 
 Contexts live in a table that grows with the corpus. Documents are dealt into
-blocks of some MB; a block asks for its distinct contexts only, gets their counts
-by a join, and is then scored on its own.
+blocks of some MB. A block sends its distinct contexts with their own counts to
+the parts that contexts are dealt into; the parts add up and send back the
+corpus' counts of just these contexts; then the block is scored on its own.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd  # noqa: F401 - Spark's Arrow functions need it
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sizing import join_key_stats
 from ..session import written
 from .common import byte_texts, crc32_sql, load, slices
 
 #: Symbols of context of each predictor.
 ORDERS = (1, 3, 5)
-BLOCK_BYTES, SEGMENT, LANES = 8 << 20, 2048, 2048
+BLOCK_BYTES, SEGMENT, LANES = 4 << 20, 2048, 2048
+#: Bytes of text for each part that contexts and words are dealt into.
+PART_BYTES = 16 << 20
 #: First weight, step of the weights, added to counts; bins of the refining table, its scale and step.
 WEIGHT, STEP, ADDED = 0.35, 0.02, 0.2
 BINS, SCALE, RATE = 24, 2.5, 0.02
@@ -45,30 +47,27 @@ SYMBOLS, END = 1 << BITS, 10
 BASE_ADDED = 0.1
 
 
-def _packed(held_out_of: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for whole in batches:
-            for batch in slices(whole, "text", BLOCK_BYTES):
-                texts, blocks = [], []
-                for text in byte_texts(batch.column("text")):
-                    text = b" ".join(text.lower().split()) + b"\n"
-                    if size and size + len(text) > BLOCK_BYTES:
-                        block, size = block + 1, 0
-                    size += len(text)
-                    texts.append(text)
-                    blocks.append(block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(texts, pa.binary())],
-                    ["block", "doc_id", "held_out", "stream"],
-                )
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for whole in batches:
+        for batch in slices(whole, "text", BLOCK_BYTES):
+            texts, blocks = [], []
+            for text in byte_texts(batch.column("text")):
+                text = b" ".join(text.lower().split()) + b"\n"
+                if size and size + len(text) > BLOCK_BYTES:
+                    block, size = block + 1, 0
+                size += len(text)
+                texts.append(text)
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(texts, pa.binary())],
+                ["block", "doc_id", "held_out", "stream"],
+            )
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
     """Per byte, its symbols (three columns) and how many count: one for PLAIN bytes, else an escape and two halves."""
-    symbols, counts = np.zeros((256, 3), np.uint8), np.full(256, 3)
+    symbols, counts = np.zeros((256, 3), np.uint8), np.full(256, 3, np.uint8)
     for byte in range(256):
         symbols[byte] = (SYMBOLS - 1, byte >> 5, byte & 31)
     for place, byte in enumerate(PLAIN):
@@ -86,7 +85,7 @@ class Stream:
         data = np.frombuffer(b"".join(texts), np.uint8)
         counts = CODE_LENGTHS[data]
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(counts)[np.cumsum(self.sizes) - 1] if texts else np.empty(0, np.int64)
+        ends = np.cumsum(counts, dtype=np.int64)[np.cumsum(self.sizes) - 1] if texts else np.empty(0, np.int64)
         self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         self.lengths = ends - self.starts
         if counts.size and counts.max() == 3:
@@ -126,7 +125,7 @@ class Stream:
             shorter = int(numbers[-1]) + 1
             if order in ORDERS:
                 position = np.empty(shorter, np.int64)
-                position[number] = np.arange(size)
+                position[number] = np.arange(size, dtype=np.int32)
                 first = self.starts[np.searchsorted(self.starts, position, side="right") - 1]
                 yield order, number, position, before[position], self.keys(order, position, first)
 
@@ -146,50 +145,122 @@ def _grouped_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, li
         yield block, texts, np.array(held, bool)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block: contexts with the bytes that follow and their training counts, and words with theirs."""
-    names = ["block", "context", "follows", "counts", "word", "n"]
-
-    def row_batch(block, context, follows, counts, word, n):
-        size = len(word) if context is None else len(context)
-        none = [pa.nulls(size, t) for t in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.int64())]
-        given = [context, follows, counts, word, n]
-        columns = [pa.array(np.full(size, block))] + [b if a is None else a for a, b in zip(given, none)]
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    for block, texts, held in _grouped_blocks(batches):
-        stream = Stream(texts)
-        trained = np.repeat(~held, stream.lengths)
-        for _, number, position, context, own in stream.pairs():
-            counts = np.bincount(number[trained], minlength=len(position))
-            heads = np.concatenate([[True], context[1:] != context[:-1]])
-            offsets = pa.array(np.append(np.nonzero(heads)[0], len(heads)).astype(np.int32))
-            follows = pa.ListArray.from_arrays(offsets, pa.array(stream.symbols[position].astype(np.int32)))
-            yield row_batch(block, pa.array(own[heads]), follows, pa.ListArray.from_arrays(offsets, pa.array(counts)), None, None)
-        known, asked = Counter(), {b"\n"}
-        for text, out in zip(texts, held):
-            (asked if out else known).update(text.split())
-        known[b"\n"] = int(np.count_nonzero(~held))
-        asked.difference_update(known)
-        words = pa.array([*known, *asked], pa.binary())
-        yield row_batch(block, None, None, None, words, pa.array([*known.values(), *[0] * len(asked)], pa.int64()))
+def _lists(values: pa.Array, part: np.ndarray, parts: np.ndarray) -> pa.ListArray:
+    """``values``, sorted by ``part``, as one list for each of ``parts``."""
+    offsets = np.searchsorted(part, np.append(parts, parts[-1] + 1 if len(parts) else 0))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def _mixed(keys: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each key, spread by a multiplicative hash."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % parts
+
+
+SENT = "part long, block long, pairs array<long>, counts array<int>, words array<binary>, word_counts array<int>"
+BACK = "block long, pairs array<long>, counts array<long>, words array<binary>, word_counts array<long>, tokens long, known long"
+
+
+def _gathered(parts: int):
+    """A block's distinct (context, symbol) pairs and words with their training counts, dealt into parts by context and word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, texts, held in _grouped_blocks(batches):
+            stream = Stream(texts)
+            trained = np.repeat(~held, stream.lengths)
+            pairs, counts = [], []
+            for _, number, position, _, own in stream.pairs():
+                counts.append(np.bincount(number[trained], minlength=len(position)).astype(np.int32))
+                pairs.append(own * SYMBOLS + stream.symbols[position])
+            pairs, counts = np.concatenate(pairs), np.concatenate(counts)
+            part = _mixed(pairs >> BITS, parts)
+            order = np.argsort(part, kind="stable")
+            pairs, counts, part = pairs[order], counts[order], part[order]
+            known, asked = Counter(), {b"\n"}
+            for text, out in zip(texts, held):
+                (asked if out else known).update(text.split())
+            known[b"\n"] = int(np.count_nonzero(~held))
+            asked.difference_update(known)
+            words = [*known, *asked]
+            word_part = np.array([zlib.crc32(w) % parts for w in words])
+            order = np.argsort(word_part, kind="stable")
+            word_counts = np.array([*known.values(), *[0] * len(asked)], np.int32)[order]
+            words, word_part = pa.array(words, pa.binary()).take(pa.array(order)), word_part[order]
+            to = np.union1d(part, word_part)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(to),
+                    pa.array(np.full(len(to), block)),
+                    _lists(pa.array(pairs), part, to),
+                    _lists(pa.array(counts), part, to),
+                    _lists(words, word_part, to),
+                    _lists(pa.array(word_counts), word_part, to),
+                ],
+                [c.split()[0] for c in SENT.split(", ")],
+            )
+
+    return run
+
+
+def _flat(table: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
+    """All elements of a list column, and the row of each."""
+    lists = table.column(column).combine_chunks()
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The corpus' counts of a part's contexts and words, for each block that asked.
+
+    A block asks for a context once, so no context has more rows than there are
+    blocks, each of which has many thousand contexts.
+    """
+    pairs, row = _flat(table, "pairs")
+    pairs = pairs.to_numpy()
+    names, at = np.unique(pairs, return_inverse=True)
+    total = np.bincount(at, weights=_flat(table, "counts")[0].to_numpy()).astype(np.int64)
+    names, total = names[total > 0], total[total > 0]
+    context = pairs >> BITS
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = (context[1:] != context[:-1]) | (row[1:] != row[:-1])
+    context, row = context[fresh], row[fresh]
+    low, high = np.searchsorted(names, context << BITS), np.searchsorted(names, (context + 1) << BITS)
+    sizes = high - low
+    every = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+    rows = np.arange(table.num_rows)
+    pair_row = np.repeat(row, sizes)
+
+    words, word_row = _flat(table, "words")
+    coded = words.dictionary_encode()
+    at = coded.indices.to_numpy()
+    word_total = np.bincount(at, weights=_flat(table, "word_counts")[0].to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
+    found = word_total[at] > 0
+    first = rows == 0
+    return pa.table(
+        {
+            "block": table.column("block"),
+            "pairs": _lists(pa.array(names[every]), pair_row, rows),
+            "counts": _lists(pa.array(total[every]), pair_row, rows),
+            "words": _lists(words.filter(pa.array(found)), word_row[found], rows),
+            "word_counts": _lists(pa.array(word_total[at][found]), word_row[found], rows),
+            # What the part adds to the numbers of all tokens and of all distinct words.
+            "tokens": pa.array(np.where(first, word_total.sum(), 0)),
+            "known": pa.array(np.where(first, np.count_nonzero(word_total), 0)),
+        }
+    )
 
 
 class Table:
     """Stretched predictions of the bits of each string of a block: one row per (longest context, symbol), orders side by side."""
 
-    def __init__(self, stream: Stream, key: np.ndarray, follows: np.ndarray, counts: np.ndarray):
-        """``key, follows, counts``: the corpus' counts of the block's contexts."""
+    def __init__(self, stream: Stream, both: np.ndarray, counts: np.ndarray):
+        """``both, counts``: the corpus' counts of the block's contexts, by context and symbol, in order."""
         rows, numbers = [], []
-        both = key * SYMBOLS + follows
-        order = np.argsort(both)
-        both, counts = both[order], counts[order].astype(np.float64)
         for order, number, position, _, own in stream.pairs():
             own = own * SYMBOLS + stream.symbols[position]
             # Keys of an order are the numbers from ``order * SYMBOLS ** order`` on.
             low, high = np.searchsorted(both, [x * SYMBOLS ** (order + 1) for x in (order, order + 1)])
             paths = np.concatenate([own, both[low:high]])
-            n = np.concatenate([np.zeros(len(own)), counts[low:high]])
+            n = np.concatenate([np.zeros(len(own)), counts[low:high].astype(np.float64)])
             sorted_by = np.argsort(paths)
             paths, n = paths[sorted_by], n[sorted_by]
             table, before = np.empty((len(n), BITS), np.float32), None
@@ -252,52 +323,39 @@ def log2_of(stream: Stream, table: Table) -> np.ndarray:
     return np.bincount(owner, weights=total, minlength=len(parts))
 
 
-def _scored(n_tokens: int, n_words: int):
-    least = BASE_ADDED / (n_tokens + BASE_ADDED * (n_words + 1))
-
-    def run(docs: pa.Table, given: pa.Table) -> pa.Table:
-        stream_column = docs.column("stream").combine_chunks()
-        texts = byte_texts(stream_column)
-        stream = Stream(texts)
-        is_word = given.column("word").is_valid()
-        words = given.filter(is_word)
-        known = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist()))
-        contexts = given.filter(pa.compute.invert(is_word)).select(["context", "follows", "counts"])
-        listed = contexts.column("follows").combine_chunks()
-        sizes = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
-        key = np.repeat(contexts.column("context").to_numpy(), sizes)
-        follows = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = contexts.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        # A context that was asked for twice has come twice.
-        _, fresh = np.unique(key * SYMBOLS + follows, return_index=True)
-        table = Table(stream, key[fresh], follows[fresh], counts[fresh])
-        bits = log2_of(stream, table)
-        n, n_known, base = [], [], []
-        # A count's logarithm is needed often, so it is kept.
-        logs = {w: math.log10((c + BASE_ADDED) / (n_tokens + BASE_ADDED * (n_words + 1))) for w, c in known.items()}
-        unknown = math.log10(least)
-        for text in texts:
-            found = [logs.get(t) for t in text.split()]
-            found.append(logs.get(b"\n"))
-            missing = found.count(None)
-            n.append(len(found))
-            n_known.append(len(found) - missing)
-            base.append(math.fsum(filter(None, found)) + unknown * missing)
-        size = len(texts)
-        return pa.table(
-            {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array(np.full(size, n_tokens, np.int64)),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(bits * math.log10(2), pa.float64()),
-                "bits_per_byte": pa.array(-bits / stream.sizes, pa.float64()),
-            }
-        )
-
-    return run
+RAW = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, bits double, size long, tokens long, known long"
+
+
+def _scored(docs: pa.Table, given: pa.Table) -> pa.Table:
+    texts = byte_texts(docs.column("stream").combine_chunks())
+    stream = Stream(texts)
+    # A context that was asked for twice has come twice.
+    pairs, fresh = np.unique(_flat(given, "pairs")[0].to_numpy(), return_index=True)
+    bits = log2_of(stream, Table(stream, pairs, _flat(given, "counts")[0].to_numpy()[fresh]))
+    counts = _flat(given, "word_counts")[0].to_numpy()
+    logs = dict(zip(_flat(given, "words")[0].to_pylist(), np.log10(counts + BASE_ADDED).tolist()))
+    unknown = math.log10(BASE_ADDED)
+    n, n_known, base = [], [], []
+    for text in texts:
+        found = [logs.get(t) for t in text.split()]
+        found.append(logs.get(b"\n"))
+        missing = found.count(None)
+        n.append(len(found))
+        n_known.append(len(found) - missing)
+        base.append(math.fsum(x for x in found if x is not None) + unknown * missing)
+    first = np.arange(len(texts)) == 0
+    return pa.table(
+        {
+            "doc_id": docs.column("doc_id"),
+            "held_out": docs.column("held_out"),
+            "n_tokens": pa.array(n, pa.int64()),
+            "n_known": pa.array(n_known, pa.int64()),
+            "logs": pa.array(base, pa.float64()),
+            "bits": pa.array(bits),
+            "size": pa.array(stream.sizes),
+            **{c: pa.array(np.where(first, pa.compute.sum(given.column(c)).as_py(), 0)) for c in ("tokens", "known")},
+        }
+    )
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10) -> DataFrame:
@@ -317,35 +375,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % held_out_of == 0).alias("held_out"),
         F.col(text_col).alias("text"),
     )
-    packed = written(named.mapInArrow(_packed(held_out_of), "block long, doc_id long, held_out boolean, stream binary"), "lm-blocks")
-    gathered = written(
-        packed.select("block", "held_out", "stream").mapInArrow(
-            _gathered, "block long, context long, follows array<int>, counts array<long>, word binary, n long"
-        ),
-        "lm-gathered",
-    )
-    # Counts of the whole corpus: per (context, byte), then one row per context; and per word.
-    asked = gathered.where("context IS NOT NULL")
-    pairs = asked.select("context", F.inline(F.arrays_zip("follows", "counts")))
-    pairs = pairs.groupBy("context", "follows").agg(F.sum("counts").alias("counts"), F.count(F.lit(1)).alias("asked"))
-    model = pairs.groupBy("context").agg(
-        F.max("asked").alias("asked"), F.collect_list(F.when(F.col("counts") > 0, F.struct("follows", "counts"))).alias("all")
-    )
-    model = model.where(F.size("all") > 0).select("context", "asked", "all.follows", "all.counts")
-    answers = join_key_stats(asked.select("block", "context"), model, ["context"], "asked").select(
-        "block", "context", "follows", "counts"
-    )
-    words = gathered.where("word IS NOT NULL").select("block", "word", "n")
-    known = words.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asked")).where("n > 0")
-    known = written(known, "lm-words")
-    n_tokens, n_words = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    found = join_key_stats(words.select("block", "word"), known, ["word"], "asked", stored=True).select("block", "word", "n")
-    given = answers.unionByName(found, allowMissingColumns=True)
-    schema = (
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
-        "bits_per_byte double"
+    packed = written(named.mapInArrow(_packed, "block long, doc_id long, held_out boolean, stream binary"), "lm-blocks")
+    size = packed.agg(F.coalesce(F.sum(F.octet_length("stream")), F.lit(0))).first()[0]
+    parts = max(-(-size // PART_BYTES), 1)
+    sent = packed.select("block", "held_out", "stream").mapInArrow(_gathered(parts), SENT)
+    back = sent.groupBy("part").applyInArrow(_answered, BACK)
+    raw = written(packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scored, RAW), "lm-scores")
+    n_tokens, n_words = raw.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    whole = math.log10(n_tokens + BASE_ADDED * (n_words + 1))
+    return raw.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(n_tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * whole).alias("base_score"),
+        (F.col("bits") * math.log10(2)).alias("score"),
+        (-F.col("bits") / F.col("size")).alias("bits_per_byte"),
     )
-    return packed.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored(n_tokens, n_words), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
