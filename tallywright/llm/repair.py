@@ -31,7 +31,7 @@ from ..operators.sizing import join_key_stats
 from ..session import written
 from .common import SPACES, crc32_sql, load, shuffle_tasks
 
-SEGMENT_ROWS, TREE_WIDTH = 256, 64
+SEGMENT_ROWS, TREE_WIDTH = 64, 64
 DELETE, REROLE, INSERT, TRUNCATED = 2, 1, 5, 5
 # Nothing yet, after "system", after "user", after "assistant".
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -109,15 +109,7 @@ def auction(arcs: list, prices: list[int], origin: int, bound: int) -> int | Non
 
 def trace(arcs: list, prices: list[int], origin: int) -> tuple[str, int]:
     """Letters of the least shortest path from ``origin``, and its last node before the sink."""
-    sink = len(arcs) - 1
-    reaches = [False] * sink + [True]
-    for row in range(sink - 4, -1, -4):
-        # Insertions stay in a row of nodes, so a row is looked at until nothing changes.
-        for _ in range(3):
-            for node in range(row, row + 4):
-                reaches[node] = reaches[node] or any(
-                    reaches[head] and prices[node] == cost + prices[head] for _, cost, head in arcs[node]
-                )
+    sink, reaches = len(arcs) - 1, reaching(arcs, prices)
     letters, node = [], origin
     while True:
         letter, head = min((x, head) for x, cost, head in arcs[node] if reaches[head] and prices[node] == cost + prices[head])
@@ -147,10 +139,25 @@ def costs_between(codes: str, last: bool) -> list[int]:
     for to in range(4):
         ends = tuple(0 if state == to else NEVER for state in range(4))
         arcs, prices = arcs_of(codes, ends, last), first_prices(codes, ends)
+        reaches = reaching(arcs)
         for origin in range(4):
-            # Without inserted rows at the end a state may need a few rows more than deletions leave: 7 is the dearest row.
-            cost = auction(arcs, list(prices), origin, (REROLE + TRUNCATED + INSERT) * (len(codes) + 2))
-            found[4 * origin + to] = NEVER if cost is None else cost
+            if reaches[origin]:
+                # Prices stay feasible, so each origin goes on where the one before stopped.
+                found[4 * origin + to] = auction(arcs, prices, origin, NEVER)
+    return found
+
+
+def reaching(arcs: list, prices: list[int] | None = None) -> list[bool]:
+    """Which nodes reach the last one, over tight arcs only if ``prices`` are given."""
+    sink = len(arcs) - 1
+    found = [False] * sink + [True]
+    for row in range(sink - 4, -1, -4):
+        # Insertions stay in a row of nodes, so a row is looked at until nothing changes.
+        for _ in range(3):
+            for node in range(row, row + 4):
+                found[node] = found[node] or any(
+                    found[head] and (prices is None or prices[node] == cost + prices[head]) for _, cost, head in arcs[node]
+                )
     return found
 
 
@@ -251,20 +258,20 @@ def _edits(row) -> tuple[str, int, int, int]:
 
 def cheapest_edits(segments: DataFrame) -> DataFrame:
     """``conv, seg, letters, entry, cost, illegal`` for stored segments ``conv, seg, codes, initials``."""
-    if (segments.agg(F.max("seg")).first()[0] or 0) == 0:
-        ready = segments.withColumns(
-            {"ends": F.array(*[F.lit(x).cast("long") for x in DONE]), "entry": F.lit(START), "last": F.lit(True)}
-        )
-    else:
-        lasts = segments.groupBy("conv").agg(F.max("seg").alias("seg")).withColumn("last", F.lit(True))
-        marked = segments.join(lasts, ["conv", "seg"], "left").withColumn("last", F.coalesce("last", F.lit(False)))
-        marked = written(marked, "segments")
-        costs = _mapped(marked, lambda r: (costs_between(r.codes, r.last),), "value array<long>")
+    lasts = segments.groupBy("conv").agg(F.max("seg").alias("last_seg"))
+    marked = written(segments.join(lasts, "conv").withColumn("last", F.col("seg") == F.col("last_seg")), "segments")
+    ends = F.array(*[F.lit(x).cast("long") for x in DONE]).alias("ends")
+    fields = ["conv", "seg", "codes", "initials", "last"]
+    ready = marked.where("last_seg = 0").select(*fields, ends, F.lit(START).alias("entry"))
+    cut = marked.where("last_seg > 0").select(*fields)
+    if not cut.isEmpty():
+        costs = _mapped(cut, lambda r: (costs_between(r.codes, r.last),), "value array<long>")
         ends = _handed_down(_levels(costs, _fold_costs), DONE, _spread_ends).withColumnRenamed("given", "ends")
-        ended = written(marked.join(ends, ["conv", "seg"]), "segment-ends")
+        ended = written(cut.join(ends, ["conv", "seg"]), "segment-ends")
         moves = _mapped(ended, _moves, "value array<long>")
         entry = _handed_down(_levels(moves, _fold_moves), (START,), _spread_entry)
-        ready = ended.join(entry.select("conv", "seg", F.get("given", 0).alias("entry")), ["conv", "seg"])
+        entry = entry.select("conv", "seg", F.get("given", 0).cast("int").alias("entry"))
+        ready = ready.unionByName(ended.join(entry, ["conv", "seg"]))
     return _mapped(ready, _edits, "letters string, entry int, cost long, illegal long")
 
 
