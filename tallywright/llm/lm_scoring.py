@@ -5,8 +5,7 @@ byte. Its bytes are coded as symbols of five bits, common ones as one symbol. Fo
 each of a few context lengths the training texts give counts of what followed; on
 the path to a symbol they predict its bits. The predictions meet in the logistic
 domain under weights that the number of known contexts selects and that every
-coded symbol corrects; a table from confidence to hit rate, corrected the same
-way, refines the mix. The sum of the logarithms is the text's probability.
+coded symbol refines. The sum of the logarithms is the text's probability.
 
 Contexts live in a table that grows with the corpus. Documents are dealt into
 blocks of some MB. A block sends its distinct contexts with their own counts to
@@ -24,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,38 +31,54 @@ from pyspark.sql import functions as F
 from ..session import written
 from .common import byte_texts, crc32_sql, load, slices
 
-#: Symbols of context of each predictor.
+#: Symbols of context of each predictor, from 1 in steps of 2.
 ORDERS = (1, 3, 5)
 BLOCK_BYTES, SEGMENT, LANES = 4 << 20, 2048, 2048
 #: Bytes of text for each part that contexts and words are dealt into.
 PART_BYTES = 16 << 20
-#: First weight, step of the weights, added to counts; bins of the refining table, its scale and step.
+#: First weight, step of the weights, added to counts.
 WEIGHT, STEP, ADDED = 0.35, 0.02, 0.2
-BINS, SCALE, RATE = 24, 2.5, 0.02
-#: Bounds of the mix and of a hit rate, so that no bit costs without end.
-MOST, SUREST = np.float32(15), np.float32(0.9998)
+#: Bound of the mix, so that no bit costs without end.
+MOST = np.float32(15)
 #: Symbols have five bits. These bytes are one symbol, all others an escape and two more. The last one ends a text.
 PLAIN, BITS = b"abcdefghijklmnopqrstuvwxyz .,\xc3\n", 5
 SYMBOLS, END = 1 << BITS, 10
 BASE_ADDED = 0.1
 
 
+PACKED = "block long, ids array<long>, held array<boolean>, sizes array<long>, data binary"
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, size = TaskContext.get().partitionId() << 32, 0
+    """One row per block: its documents' ids, sizes and compressed bytes."""
+    block, texts, ids, held, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+    def row():
+        data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+        columns = [[block], [ids], [held], [[len(t) for t in texts]], [data]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PACKED.split(", ")])
+
     for whole in batches:
         for batch in slices(whole, "text", BLOCK_BYTES):
-            texts, blocks = [], []
-            for text in byte_texts(batch.column("text")):
+            columns = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch.column("text"))
+            for doc_id, out, text in zip(*columns):
                 text = b" ".join(text.lower().split()) + b"\n"
-                if size and size + len(text) > BLOCK_BYTES:
-                    block, size = block + 1, 0
-                size += len(text)
+                if texts and size + len(text) > BLOCK_BYTES:
+                    yield row()
+                    block, texts, ids, held, size = block + 1, [], [], [], 0
                 texts.append(text)
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(texts, pa.binary())],
-                ["block", "doc_id", "held_out", "stream"],
-            )
+                ids.append(doc_id)
+                held.append(out)
+                size += len(text)
+    if texts:
+        yield row()
+
+
+def _texts(row: dict) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(row["data"])
+    ends = np.cumsum(row["sizes"]).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
@@ -102,47 +118,34 @@ class Stream:
             key = key * SYMBOLS + before
         return key
 
-    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order: (order, number of (context, symbol) at each position, a position of each, its context's number and key).
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order: (order, number of (context, symbol) at each position, a position of each, its context's key).
 
-        Strings of one symbol more are numbered from the numbers of the shorter
-        ones by marking a table, without sorting. Numbers ascend with their
-        context's, then with the symbol.
+        Strings of two symbols more are numbered from the numbers of the shorter
+        ones by marking a table, without sorting. A context's numbers are
+        neighbours.
         """
-        size, shorter = len(self.symbols), 1
-        before, number = np.zeros(size, np.int32), None
-        for order in range(max(ORDERS) + 1):
-            if order:
-                before[1:] = number[:-1]
+        size = len(self.symbols)
+        last_two = self.symbols.astype(np.int32)
+        last_two[1:] += self.symbols[:-1].astype(np.int32) * SYMBOLS
+        last_two[self.starts] = PLAIN.index(END) * SYMBOLS + self.symbols[self.starts].astype(np.int32)
+        before, number, shorter = np.zeros(size, np.int32), None, 0
+        for order in ORDERS:
+            if number is not None:
+                before[2:] = number[:-2]
                 # A document starts in a context of its own.
                 before[self.starts] = shorter
-                shorter += 1
-            key = before * np.int32(SYMBOLS) + self.symbols
-            marks = np.zeros(shorter * SYMBOLS, bool)
+                before[np.minimum(self.starts + 1, self.starts + self.lengths - 1)] = shorter
+            key = before * np.int32(SYMBOLS**2) + last_two
+            marks = np.zeros((shorter + 1) * SYMBOLS**2, bool)
             marks[key] = True
             numbers = np.cumsum(marks, dtype=np.int32) - np.int32(1)
             number = numbers[key]
             shorter = int(numbers[-1]) + 1
-            if order in ORDERS:
-                position = np.empty(shorter, np.int64)
-                position[number] = np.arange(size, dtype=np.int32)
-                first = self.starts[np.searchsorted(self.starts, position, side="right") - 1]
-                yield order, number, position, before[position], self.keys(order, position, first)
-
-
-def _grouped_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(block, texts, held out) of rows that arrive in runs of a block."""
-    block, texts, held = None, [], []
-    for batch in batches:
-        for b, h, t in zip(batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch.column("stream"))):
-            if b != block and texts:
-                yield block, texts, np.array(held, bool)
-                texts, held = [], []
-            block = b
-            texts.append(t)
-            held.append(h)
-    if texts:
-        yield block, texts, np.array(held, bool)
+            position = np.empty(shorter, np.int64)
+            position[number] = np.arange(size, dtype=np.int32)
+            first = self.starts[np.searchsorted(self.starts, position, side="right") - 1]
+            yield order, number, position, self.keys(order, position, first)
 
 
 def _lists(values: pa.Array, part: np.ndarray, parts: np.ndarray) -> pa.ListArray:
@@ -151,73 +154,89 @@ def _lists(values: pa.Array, part: np.ndarray, parts: np.ndarray) -> pa.ListArra
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def _mixed(keys: np.ndarray, parts: int) -> np.ndarray:
-    """A part for each key, spread by a multiplicative hash."""
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % parts
+def _flat(table: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
+    """All elements of a list column, and the row of each."""
+    lists = table.column(column).combine_chunks()
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _compact(pairs: np.ndarray, counts: np.ndarray, part: np.ndarray, parts: np.ndarray) -> list[pa.Array]:
+    """Pairs, sorted by part with a context's pairs together, as contexts, their numbers of symbols, symbols and counts."""
+    context = pairs >> BITS
+    heads = np.ones(len(pairs), bool)
+    heads[1:] = (context[1:] != context[:-1]) | (part[1:] != part[:-1])
+    at = np.nonzero(heads)[0]
+    sizes = np.diff(np.append(at, len(pairs))).astype(np.int8)
+    return [
+        _lists(pa.array(context[at]), part[at], parts),
+        _lists(pa.array(sizes), part[at], parts),
+        _lists(pa.array((pairs & (SYMBOLS - 1)).astype(np.int8)), part, parts),
+        _lists(pa.array(counts), part, parts),
+    ]
+
+
+def _pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, counts and rows of what ``_compact`` made."""
+    sizes = _flat(table, "sizes")[0].to_numpy()
+    symbols, row = _flat(table, "symbols")
+    pairs = (np.repeat(_flat(table, "contexts")[0].to_numpy(), sizes) << BITS) + symbols.to_numpy()
+    return pairs, _flat(table, "counts")[0].to_numpy(), row
 
 
-SENT = "part long, block long, pairs array<long>, counts array<int>, words array<binary>, word_counts array<int>"
-BACK = "block long, pairs array<long>, counts array<long>, words array<binary>, word_counts array<long>, tokens long, known long"
+LISTS = "contexts array<long>, sizes array<tinyint>, symbols array<tinyint>, counts array<{0}>, words array<binary>, word_counts array<{0}>"
+SENT = "part long, block long, " + LISTS.format("int")
+BACK = "block long, " + LISTS.format("long") + ", tokens long, known long"
+NAMES = [c.split()[0] for c in LISTS.split(", ")]
 
 
 def _gathered(parts: int):
     """A block's distinct (context, symbol) pairs and words with their training counts, dealt into parts by context and word."""
 
+    def of_block(row: dict) -> pa.RecordBatch:
+        texts, held = _texts(row), np.array(row["held"], bool)
+        stream = Stream(texts)
+        trained = np.repeat(~held, stream.lengths)
+        pairs, counts = [], []
+        for _, number, position, own in stream.pairs():
+            counts.append(np.bincount(number[trained], minlength=len(position)).astype(np.int32))
+            pairs.append(own * SYMBOLS + stream.symbols[position])
+        pairs, counts = np.concatenate(pairs), np.concatenate(counts)
+        # A multiplicative hash spreads the contexts.
+        part = (((pairs >> BITS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % parts
+        order = np.lexsort((pairs, part))
+        pairs, counts, part = pairs[order], counts[order], part[order]
+        known, asked = Counter(), {b"\n"}
+        for text, out in zip(texts, held):
+            (asked if out else known).update(text.split())
+        known[b"\n"] = int(np.count_nonzero(~held))
+        asked.difference_update(known)
+        # Sorted words compress well on their way.
+        words = sorted([(zlib.crc32(w) % parts, w) for w in (*known, *asked)])
+        word_part = np.array([p for p, _ in words])
+        word_counts = pa.array([known[w] if w in known else 0 for _, w in words], pa.int32())
+        to = np.union1d(part, word_part)
+        columns = [pa.array(to), pa.array(np.full(len(to), row["block"])), *_compact(pairs, counts, part, to)]
+        columns += [_lists(pa.array([w for _, w in words], pa.binary()), word_part, to), _lists(word_counts, word_part, to)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "block", *NAMES])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts, held in _grouped_blocks(batches):
-            stream = Stream(texts)
-            trained = np.repeat(~held, stream.lengths)
-            pairs, counts = [], []
-            for _, number, position, _, own in stream.pairs():
-                counts.append(np.bincount(number[trained], minlength=len(position)).astype(np.int32))
-                pairs.append(own * SYMBOLS + stream.symbols[position])
-            pairs, counts = np.concatenate(pairs), np.concatenate(counts)
-            part = _mixed(pairs >> BITS, parts)
-            order = np.argsort(part, kind="stable")
-            pairs, counts, part = pairs[order], counts[order], part[order]
-            known, asked = Counter(), {b"\n"}
-            for text, out in zip(texts, held):
-                (asked if out else known).update(text.split())
-            known[b"\n"] = int(np.count_nonzero(~held))
-            asked.difference_update(known)
-            words = [*known, *asked]
-            word_part = np.array([zlib.crc32(w) % parts for w in words])
-            order = np.argsort(word_part, kind="stable")
-            word_counts = np.array([*known.values(), *[0] * len(asked)], np.int32)[order]
-            words, word_part = pa.array(words, pa.binary()).take(pa.array(order)), word_part[order]
-            to = np.union1d(part, word_part)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(to),
-                    pa.array(np.full(len(to), block)),
-                    _lists(pa.array(pairs), part, to),
-                    _lists(pa.array(counts), part, to),
-                    _lists(words, word_part, to),
-                    _lists(pa.array(word_counts), word_part, to),
-                ],
-                [c.split()[0] for c in SENT.split(", ")],
-            )
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield of_block(batch.slice(i, 1).to_pylist()[0])
 
     return run
 
 
-def _flat(table: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
-    """All elements of a list column, and the row of each."""
-    lists = table.column(column).combine_chunks()
-    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
-
-
 def _answered(table: pa.Table) -> pa.Table:
     """The corpus' counts of a part's contexts and words, for each block that asked.
 
     A block asks for a context once, so no context has more rows than there are
     blocks, each of which has many thousand contexts.
     """
-    pairs, row = _flat(table, "pairs")
-    pairs = pairs.to_numpy()
+    pairs, counts, row = _pairs_of(table)
     names, at = np.unique(pairs, return_inverse=True)
-    total = np.bincount(at, weights=_flat(table, "counts")[0].to_numpy()).astype(np.int64)
+    total = np.bincount(at, weights=counts).astype(np.int64)
     names, total = names[total > 0], total[total > 0]
     context = pairs >> BITS
     fresh = np.ones(len(pairs), bool)
@@ -227,7 +246,6 @@ def _answered(table: pa.Table) -> pa.Table:
     sizes = high - low
     every = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
     rows = np.arange(table.num_rows)
-    pair_row = np.repeat(row, sizes)
 
     words, word_row = _flat(table, "words")
     coded = words.dictionary_encode()
@@ -235,18 +253,15 @@ def _answered(table: pa.Table) -> pa.Table:
     word_total = np.bincount(at, weights=_flat(table, "word_counts")[0].to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
     found = word_total[at] > 0
     first = rows == 0
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "pairs": _lists(pa.array(names[every]), pair_row, rows),
-            "counts": _lists(pa.array(total[every]), pair_row, rows),
-            "words": _lists(words.filter(pa.array(found)), word_row[found], rows),
-            "word_counts": _lists(pa.array(word_total[at][found]), word_row[found], rows),
-            # What the part adds to the numbers of all tokens and of all distinct words.
-            "tokens": pa.array(np.where(first, word_total.sum(), 0)),
-            "known": pa.array(np.where(first, np.count_nonzero(word_total), 0)),
-        }
-    )
+    columns = [table.column("block"), *_compact(names[every], total[every], np.repeat(row, sizes), rows)]
+    columns += [
+        _lists(words.filter(pa.array(found)), word_row[found], rows),
+        _lists(pa.array(word_total[at][found]), word_row[found], rows),
+        # What the part adds to the numbers of all tokens and of all distinct words.
+        pa.array(np.where(first, word_total.sum(), 0)),
+        pa.array(np.where(first, np.count_nonzero(word_total), 0)),
+    ]
+    return pa.Table.from_arrays(columns, ["block", *NAMES, "tokens", "known"])
 
 
 class Table:
@@ -255,7 +270,7 @@ class Table:
     def __init__(self, stream: Stream, both: np.ndarray, counts: np.ndarray):
         """``both, counts``: the corpus' counts of the block's contexts, by context and symbol, in order."""
         rows, numbers = [], []
-        for order, number, position, _, own in stream.pairs():
+        for order, number, position, own in stream.pairs():
             own = own * SYMBOLS + stream.symbols[position]
             # Keys of an order are the numbers from ``order * SYMBOLS ** order`` on.
             low, high = np.searchsorted(both, [x * SYMBOLS ** (order + 1) for x in (order, order + 1)])
@@ -293,14 +308,11 @@ def log2_of(stream: Stream, table: Table) -> np.ndarray:
     lengths = np.minimum(stream.lengths[owner] - nth * SEGMENT, SEGMENT)
     by_length = np.argsort(-lengths, kind="stable")
     gates, orders = len(ORDERS) + 1, len(ORDERS)
-    middle = 1 / (1 + np.exp(-(np.arange(BINS, dtype=np.float32) + 0.5) / SCALE))
     total = np.zeros(len(owner))
     for first in range(0, len(owner), LANES):
         lanes = by_length[first : first + LANES]
         start, length, n = starts[lanes], lengths[lanes], len(lanes)
         weights = np.full((n * gates, orders, BITS), WEIGHT, np.float32)
-        refined = np.tile(middle.astype(np.float32), n * BITS)
-        bin_base = (np.arange(n * BITS, dtype=np.int32) * BINS).reshape(n, BITS)
         row_base = np.arange(n) * gates
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
         found = np.zeros(n)
@@ -311,13 +323,9 @@ def log2_of(stream: Stream, table: Table) -> np.ndarray:
             weight = weights.take(row, axis=0)
             mix = np.clip(np.einsum("akb,akb->ab", weight, inputs), -MOST, MOST)
             p = 1 / (1 + np.exp(-mix))
-            weights[row] = weight + inputs * (STEP * (1 - p))[:, None, :]
-            # The table holds how often the more probable bit was the right one, by confidence.
-            slot = np.minimum(np.abs(mix) * SCALE, BINS - 1).astype(np.int32) + bin_base[:a]
-            rate = refined.take(slot)
-            right = mix > 0
-            refined[slot] = np.minimum(rate + RATE * (right - rate), SUREST)
-            p = (p + np.where(right, rate, 1 - rate)) * np.float32(0.5)
+            inputs *= (STEP * (1 - p))[:, None, :]
+            inputs += weight
+            weights[row] = inputs
             found[:a] += np.log2(p.prod(axis=1))
         total[lanes] = found
     return np.bincount(owner, weights=total, minlength=len(parts))
@@ -327,11 +335,12 @@ RAW = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double,
 
 
 def _scored(docs: pa.Table, given: pa.Table) -> pa.Table:
-    texts = byte_texts(docs.column("stream").combine_chunks())
+    row = docs.to_pylist()[0]
+    texts = _texts(row)
     stream = Stream(texts)
-    # A context that was asked for twice has come twice.
-    pairs, fresh = np.unique(_flat(given, "pairs")[0].to_numpy(), return_index=True)
-    bits = log2_of(stream, Table(stream, pairs, _flat(given, "counts")[0].to_numpy()[fresh]))
+    pairs, totals, _ = _pairs_of(given)
+    order = np.argsort(pairs)
+    bits = log2_of(stream, Table(stream, pairs[order], totals[order]))
     counts = _flat(given, "word_counts")[0].to_numpy()
     logs = dict(zip(_flat(given, "words")[0].to_pylist(), np.log10(counts + BASE_ADDED).tolist()))
     unknown = math.log10(BASE_ADDED)
@@ -346,8 +355,8 @@ def _scored(docs: pa.Table, given: pa.Table) -> pa.Table:
     first = np.arange(len(texts)) == 0
     return pa.table(
         {
-            "doc_id": docs.column("doc_id"),
-            "held_out": docs.column("held_out"),
+            "doc_id": pa.array(row["ids"], pa.int64()),
+            "held_out": pa.array(row["held"], pa.bool_()),
             "n_tokens": pa.array(n, pa.int64()),
             "n_known": pa.array(n_known, pa.int64()),
             "logs": pa.array(base, pa.float64()),
@@ -375,10 +384,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % held_out_of == 0).alias("held_out"),
         F.col(text_col).alias("text"),
     )
-    packed = written(named.mapInArrow(_packed, "block long, doc_id long, held_out boolean, stream binary"), "lm-blocks")
-    size = packed.agg(F.coalesce(F.sum(F.octet_length("stream")), F.lit(0))).first()[0]
+    packed = written(named.mapInArrow(_packed, PACKED), "lm-blocks")
+    size = packed.agg(F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
     parts = max(-(-size // PART_BYTES), 1)
-    sent = packed.select("block", "held_out", "stream").mapInArrow(_gathered(parts), SENT)
+    sent = packed.mapInArrow(_gathered(parts), SENT)
     back = sent.groupBy("part").applyInArrow(_answered, BACK)
     raw = written(packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scored, RAW), "lm-scores")
     n_tokens, n_words = raw.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
