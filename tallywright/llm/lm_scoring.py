@@ -16,6 +16,7 @@ corpus' counts of just these contexts; then the block is scored on its own.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -148,46 +149,45 @@ class Stream:
             yield order, number, position, self.keys(order, position, first)
 
 
-def _lists(values: pa.Array, part: np.ndarray, parts: np.ndarray) -> pa.ListArray:
-    """``values``, sorted by ``part``, as one list for each of ``parts``."""
-    offsets = np.searchsorted(part, np.append(parts, parts[-1] + 1 if len(parts) else 0))
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-
-
-def _flat(table: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
-    """All elements of a list column, and the row of each."""
-    lists = table.column(column).combine_chunks()
-    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _compact(pairs: np.ndarray, counts: np.ndarray, part: np.ndarray, parts: np.ndarray) -> list[pa.Array]:
-    """Pairs, sorted by part with a context's pairs together, as contexts, their numbers of symbols, symbols and counts."""
-    context = pairs >> BITS
-    heads = np.ones(len(pairs), bool)
-    heads[1:] = (context[1:] != context[:-1]) | (part[1:] != part[:-1])
-    at = np.nonzero(heads)[0]
-    sizes = np.diff(np.append(at, len(pairs))).astype(np.int8)
-    return [
-        _lists(pa.array(context[at]), part[at], parts),
-        _lists(pa.array(sizes), part[at], parts),
-        _lists(pa.array((pairs & (SYMBOLS - 1)).astype(np.int8)), part, parts),
-        _lists(pa.array(counts), part, parts),
-    ]
-
-
-def _pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs, counts and rows of what ``_compact`` made."""
-    sizes = _flat(table, "sizes")[0].to_numpy()
-    symbols, row = _flat(table, "symbols")
-    pairs = (np.repeat(_flat(table, "contexts")[0].to_numpy(), sizes) << BITS) + symbols.to_numpy()
-    return pairs, _flat(table, "counts")[0].to_numpy(), row
-
-
-LISTS = "contexts array<long>, sizes array<tinyint>, symbols array<tinyint>, counts array<{0}>, words array<binary>, word_counts array<{0}>"
-SENT = "part long, block long, " + LISTS.format("int")
-BACK = "block long, " + LISTS.format("long") + ", tokens long, known long"
-NAMES = [c.split()[0] for c in LISTS.split(", ")]
+SENT = "part long, block long, data binary"
+BACK = "block long, tokens long, known long, data binary"
+
+
+def _blobs(part: np.ndarray, word_part: np.ndarray, parts: np.ndarray, pairs, counts, words: list[bytes], word_counts) -> list[bytes]:
+    """Pairs and words, sorted by part, as compressed bytes for each of ``parts``; a context is stored once with its symbols."""
+    compress = zstandard.ZstdCompressor(level=1).compress
+    cuts = [np.searchsorted(x, np.append(parts, parts[-1] + 1)) for x in (part, word_part)]
+    out = []
+    for i in range(len(parts)):
+        own, mine = slice(*cuts[0][i : i + 2]), slice(*cuts[1][i : i + 2])
+        context = pairs[own] >> BITS
+        heads = np.nonzero(np.diff(context, prepend=-1))[0]
+        arrays = (
+            np.diff(context[heads], prepend=0),
+            np.diff(np.append(heads, len(context))).astype(np.int8),
+            (pairs[own] & (SYMBOLS - 1)).astype(np.int8),
+            counts[own],
+            b" ".join(words[mine]) if mine.stop > mine.start else None,
+            word_counts[mine],
+        )
+        out.append(compress(pickle.dumps(arrays, protocol=5)))
+    return out
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Pairs, counts and rows; words, counts and rows of what ``_blobs`` made."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    pairs, counts, sizes, words, word_counts, word_sizes = [], [], [], [], [], []
+    for data in table.column("data").to_pylist():
+        steps, n, symbols, count, joined, word_count = pickle.loads(decompress(data))
+        pairs.append((np.repeat(np.cumsum(steps), n) << BITS) + symbols)
+        counts.append(count)
+        sizes.append(len(symbols))
+        words += [] if joined is None else joined.split(b" ")
+        word_counts.append(word_count)
+        word_sizes.append(len(word_count))
+    row, word_row = (np.repeat(np.arange(table.num_rows), x) for x in (sizes, word_sizes))
+    return np.concatenate(pairs), np.concatenate(counts), row, words, np.concatenate(word_counts), word_row
 
 
 def _gathered(parts: int):
@@ -214,11 +214,11 @@ def _gathered(parts: int):
         # Sorted words compress well on their way.
         words = sorted([(zlib.crc32(w) % parts, w) for w in (*known, *asked)])
         word_part = np.array([p for p, _ in words])
-        word_counts = pa.array([known[w] if w in known else 0 for _, w in words], pa.int32())
+        word_counts = np.array([known[w] if w in known else 0 for _, w in words], np.int32)
         to = np.union1d(part, word_part)
-        columns = [pa.array(to), pa.array(np.full(len(to), row["block"])), *_compact(pairs, counts, part, to)]
-        columns += [_lists(pa.array([w for _, w in words], pa.binary()), word_part, to), _lists(word_counts, word_part, to)]
-        return pa.RecordBatch.from_arrays(columns, ["part", "block", *NAMES])
+        blobs = _blobs(part, word_part, to, pairs, counts, [w for _, w in words], word_counts)
+        columns = [pa.array(to), pa.array(np.full(len(to), row["block"])), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "block", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +234,7 @@ def _answered(table: pa.Table) -> pa.Table:
     A block asks for a context once, so no context has more rows than there are
     blocks, each of which has many thousand contexts.
     """
-    pairs, counts, row = _pairs_of(table)
+    pairs, counts, row, words, word_counts, word_row = _unpacked(table)
     names, at = np.unique(pairs, return_inverse=True)
     total = np.bincount(at, weights=counts).astype(np.int64)
     names, total = names[total > 0], total[total > 0]
@@ -247,21 +247,22 @@ def _answered(table: pa.Table) -> pa.Table:
     every = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
     rows = np.arange(table.num_rows)
 
-    words, word_row = _flat(table, "words")
-    coded = words.dictionary_encode()
-    at = coded.indices.to_numpy()
-    word_total = np.bincount(at, weights=_flat(table, "word_counts")[0].to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
-    found = word_total[at] > 0
+    places = {}
+    at = np.array([places.setdefault(w, len(places)) for w in words], np.int64)
+    word_total = np.bincount(at, weights=word_counts, minlength=len(places)).astype(np.int64)
+    found = np.nonzero(word_total[at] > 0)[0] if len(at) else at
+    known = [words[i] for i in found]
+    blobs = _blobs(np.repeat(row, sizes), word_row[found], rows, names[every], total[every], known, word_total[at][found])
     first = rows == 0
-    columns = [table.column("block"), *_compact(names[every], total[every], np.repeat(row, sizes), rows)]
-    columns += [
-        _lists(words.filter(pa.array(found)), word_row[found], rows),
-        _lists(pa.array(word_total[at][found]), word_row[found], rows),
-        # What the part adds to the numbers of all tokens and of all distinct words.
-        pa.array(np.where(first, word_total.sum(), 0)),
-        pa.array(np.where(first, np.count_nonzero(word_total), 0)),
-    ]
-    return pa.Table.from_arrays(columns, ["block", *NAMES, "tokens", "known"])
+    return pa.table(
+        {
+            "block": table.column("block"),
+            # What the part adds to the numbers of all tokens and of all distinct words.
+            "tokens": pa.array(np.where(first, word_total.sum(), 0)),
+            "known": pa.array(np.where(first, np.count_nonzero(word_total), 0)),
+            "data": pa.array(blobs, pa.binary()),
+        }
+    )
 
 
 class Table:
@@ -338,11 +339,10 @@ def _scored(docs: pa.Table, given: pa.Table) -> pa.Table:
     row = docs.to_pylist()[0]
     texts = _texts(row)
     stream = Stream(texts)
-    pairs, totals, _ = _pairs_of(given)
+    pairs, totals, _, words, counts, _ = _unpacked(given)
     order = np.argsort(pairs)
     bits = log2_of(stream, Table(stream, pairs[order], totals[order]))
-    counts = _flat(given, "word_counts")[0].to_numpy()
-    logs = dict(zip(_flat(given, "words")[0].to_pylist(), np.log10(counts + BASE_ADDED).tolist()))
+    logs = dict(zip(words, np.log10(counts + BASE_ADDED).tolist()))
     unknown = math.log10(BASE_ADDED)
     n, n_known, base = [], [], []
     for text in texts:
