@@ -16,6 +16,7 @@ matches join without a window.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -28,11 +29,30 @@ from pyspark.sql import types as T
 
 from .common import load, slices
 
-LEAF = 48
-MEMORY_WORDS, MEMORY_BYTES = 200_000, 64
+LEAF = 8
+MEMORY_WORDS, MEMORY_CHARS = 150_000, 48
 BATCH_BYTES = 8 << 20
 
 
+class Memory(dict):
+    """Values by word, found once; of two generations of words the older one goes when the newer one is full."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.pop(word, None)
+        if found is None:
+            found = self.find(word)
+        if len(word) <= MEMORY_CHARS:
+            if len(self) >= MEMORY_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Bpe:
     """Encoder and decoder for one vocabulary of ranks."""
 
@@ -42,7 +62,7 @@ class Bpe:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(self.word)
         self.stable_pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -104,19 +124,12 @@ class Bpe:
 
     def word(self, word: str) -> bytes:
         """Ids of one match, as little-endian 32-bit integers; a match in the vocabulary is one token."""
-        found = self.words.get(word)
-        if found is None:
-            data = word.encode()
-            whole = self.ranks.get(data)
-            found = np.asarray([whole] if whole is not None else self.tree(data), "<u4").tobytes()
-            if len(data) <= MEMORY_BYTES:
-                if len(self.words) >= MEMORY_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        data = word.encode()
+        whole = self.ranks.get(data)
+        return np.asarray([whole] if whole is not None else self.tree(data), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.word, self.split(text)))
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Concatenate up the tree."""
@@ -126,6 +139,15 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+def shared(ranks_file: str, pattern: str, kept: dict = {}) -> Bpe:  # noqa: B006 - one for each worker, on purpose
+    """The worker's own encoder and decoder of a vocabulary, with the words it remembers."""
+    key = ranks_file, pattern
+    if key not in kept:
+        kept.clear()
+        kept[key] = Bpe(ranks_file, pattern)
+    return kept[key]
+
+
 def encode_documents(
     docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -140,7 +162,7 @@ def encode_documents(
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(ranks_file, pattern)
+        bpe = shared(ranks_file, pattern)
         for batch in (part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
             ids = [bpe.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
@@ -152,11 +174,15 @@ def encode_documents(
 
 
 def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """The rows of ``encode_documents`` with ``decoded``, the bytes of the ids."""
+    """The rows of ``encode_documents`` with ``decoded``, the bytes of the ids.
+
+    Defined results: a row without ids decodes to nothing; repeated rows and
+    null ids give a row each; an empty table gives no rows.
+    """
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(ranks_file, pattern)
+        bpe = shared(ranks_file, pattern)
         for batch in (part for whole in batches for part in slices(whole, "ids", BATCH_BYTES)):
             texts = [bpe.decode(np.frombuffer(x, "<u4")) if x else b"" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
@@ -164,12 +190,28 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
     return encoded.mapInArrow(decode, schema)
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document."""
-    decoded = decode_documents(encode_documents(docs, ranks_file, pattern), ranks_file, pattern)
-    return decoded.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document: encoded, decoded from the ids, both hashed in place.
+
+    Defined results: those of ``encode_documents``; only digests leave the task.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = shared(ranks_file, pattern)
+        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
+            counts, ids_sha, decoded_sha = [], [], []
+            for text in batch.column("text").to_pylist():
+                ids = bpe.encode(text) if text else b""
+                decoded = bpe.decode(np.frombuffer(ids, "<u4"))
+                counts.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                decoded_sha.append(hashlib.sha256(decoded).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
