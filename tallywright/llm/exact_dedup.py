@@ -23,8 +23,14 @@ from .common import SPACES, load, numbered, whole_text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "spark.sql.streaming.stateStore"
-#: Disk-backed state. Every partition has a store of its own, most of them small, so none reserves disk ahead.
-STATE_SETTINGS = {f"{STATE}.providerClass": ROCKSDB, f"{STATE}.rocksdb.allowFAllocate": "false"}
+#: Disk-backed state. Every partition has a store of its own, most of them small, so none reserves disk ahead, and all
+#: stores of an executor share one bounded memory.
+STATE_SETTINGS = {
+    f"{STATE}.providerClass": ROCKSDB,
+    f"{STATE}.rocksdb.allowFAllocate": "false",
+    f"{STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{STATE}.rocksdb.maxMemoryUsageMB": "128",
+}
 
 
 def normalised(text: str | Column) -> Column:
