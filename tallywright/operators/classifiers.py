@@ -1,8 +1,7 @@
-"""Spark ML classifiers on TF-IDF features, their search and their evaluation.
+"""Classifiers of texts, their search and their evaluation.
 
-There is one feature per term, found in the training rows. Linear models hold
-one weight per term and class in the driver and in every task, so a vocabulary
-that fits the model fits there too.
+Linear models are fitted by ``linear.py`` on distributed terms, all
+configurations of a search at once. Embedding classifiers average word vectors.
 """
 
 from __future__ import annotations
@@ -11,33 +10,29 @@ import json
 import time
 import warnings
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Pipeline
 from pyspark.ml.base import Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, Word2Vec
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import hit_flag
-from ..functions.text import bigrams, ngram_tokens, word_tokens
+from ..functions.text import bigrams, word_tokens
 from ..session import written
+from . import linear
 from .bayes import nb_predictions
 from .encoding import label_codes, label_index, label_name
-from .metrics import class_report, confusion, macro_scores
+from .metrics import class_report, confusion, cv_mean_score, macro_scores
 from .unions import union_results
 
-#: The optimisers stop when the loss changes by less than this, relatively, or after so many steps, with a warning.
+#: Limits of the optimiser that trains on embeddings: relative change of the loss, and steps.
 TOLERANCE, MAX_ITERATIONS = 1e-4, 1_000
-#: Fits that run at a time in a search.
-PARALLEL_FITS = 4
+# The loss that each linear model minimises.
+LOSSES = {"LogisticRegression": "softmax", "SVM": "squared_hinge", "LinearSVC": "squared_hinge"}
 # Parameters of other optimisers that have no counterpart here and do not change what is fitted.
 WITHOUT_EFFECT = {"solver", "dual", "random_state", "n_jobs", "thread", "verbose", "lrUpdateRate"}
 # Parameters with a single supported value.
@@ -45,26 +40,11 @@ ONLY = {"penalty": ("l2",), "class_weight": (None,), "fit_prior": (True,), "clas
 # The same for one model. Embeddings are of whole words, without hash buckets, subsampling or negative samples.
 ONLY_OF = {
     "LogisticRegression": {"multi_class": ("auto", "multinomial")},
-    "SVM": {"loss": ("hinge",), "multi_class": ("ovr",)},
+    "SVM": {"loss": ("squared_hinge",), "multi_class": ("ovr",)},
     "FastText": {"loss": ("softmax",), "minn": (0,), "maxn": (0,), "neg": (0,), "t": (0,), "bucket": (0,), "minCountLabel": (0, 1)},
 }
 
 
-class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Weights tf by ln((1 + n) / (1 + df)) + 1; terms without a document get no weight. Spark's IDF lacks the + 1."""
-
-    def __init__(self, inputCol: str = "tf", outputCol: str = "tfidf"):
-        super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
-
-    def _fit(self, dataset: DataFrame) -> Model:
-        found = IDF(inputCol=self.getInputCol(), outputCol=self.getOutputCol()).fit(dataset)
-        weights = [idf + 1.0 if df else 0.0 for idf, df in zip(found.idf.toArray(), found.docFreq)]
-        return ElementwiseProduct(
-            scalingVec=Vectors.dense(weights), inputCol=self.getInputCol(), outputCol=self.getOutputCol()
-        )
-
-
 @dataclass(frozen=True)
 class Features:
     """The feature side of a configuration."""
@@ -141,27 +121,6 @@ def cached(df: DataFrame):
         data.unpersist()
 
 
-def counter(df: DataFrame, terms: str, out: str, features: Features) -> CountVectorizer:
-    """Counts every term of ``df`` (within the bounds on document frequency) as a feature of its own."""
-    distinct = df.select(F.explode(terms).alias("term")).distinct().count()
-    bounds = {"minDF": float(features.min_df)}
-    if features.max_df is not None:
-        bounds["maxDF"] = float(features.max_df)
-    return CountVectorizer(inputCol=terms, outputCol=out, vocabSize=max(distinct, 2), binary=features.binary, **bounds)
-
-
-def feature_stages(df: DataFrame, terms: str, features: Features = Features()) -> list:
-    stages, last = [counter(df, terms, "tf", features)], "tf"
-    if features.use_idf:
-        stages.append(SmoothIdf(inputCol="tf", outputCol="tfidf"))
-        last = "tfidf"
-    if features.norm not in (None, "l1", "l2"):
-        raise ValueError(f"unknown norm {features.norm!r}")
-    if features.norm:
-        stages.append(Normalizer(inputCol=last, outputCol="features", p=float(features.norm[1])))
-    return stages
-
-
 def logistic_regression(
     c: float, n_rows: int, max_iter: int = MAX_ITERATIONS, tol: float = TOLERANCE, features: str = "features"
 ) -> LogisticRegression:
@@ -177,29 +136,11 @@ def logistic_regression(
     )
 
 
-def linear_svm(
-    c: float, n_rows: int, max_iter: int = MAX_ITERATIONS, tol: float = TOLERANCE, features: str = "features"
-) -> OneVsRest:
-    """One linear SVM per label against the rest."""
-    svm = LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, maxIter=max_iter, tol=tol)
-    return OneVsRest(classifier=svm, labelCol="label_code", featuresCol=features, parallelism=1)
-
-
-def linear_classifier(model: str, c: float, n_rows: int, features: str = "features", **options) -> Estimator:
-    if model == "LogisticRegression":
-        return logistic_regression(c, n_rows, features=features, **options)
-    if model in ("SVM", "LinearSVC"):
-        return linear_svm(c, n_rows, features=features, **options)
-    raise ValueError(f"unknown model {model!r}")
-
-
 def warn_unconverged(model: Model, max_iter: int, what: str) -> None:
     """Say so if an optimiser stopped at its last step."""
-    parts = model.models if isinstance(model, OneVsRestModel) else [model]
-    for part in parts:
-        summary = part.summary if not callable(part.summary) else part.summary()
-        if summary.totalIterations >= max_iter:
-            warnings.warn(f"{what} did not converge in {max_iter} steps", stacklevel=2)
+    summary = model.summary if not callable(model.summary) else model.summary()
+    if summary.totalIterations >= max_iter:
+        warnings.warn(f"{what} did not converge in {max_iter} steps", stacklevel=2)
 
 
 def word_ngrams(text: str | Column, n: int) -> Column:
@@ -249,38 +190,44 @@ def embedding_classifier(
     return Pipeline(stages=[words, logistic_regression(float(C), n_rows)])
 
 
-def text_classifier(model: str, features: Features, params: Mapping, train: DataFrame, n_rows: int) -> Pipeline:
-    """The estimator of a configuration for prepared training rows."""
-    if model == "FastText":
-        chosen = {k: v for k, v in params.items() if k != "wordNgrams"}
-        return embedding_classifier(train, n_rows, **chosen)
-    options = {k: kind(params[k]) for k, kind in (("max_iter", int), ("tol", float)) if k in params}
-    stages = feature_stages(train, "terms", features)
-    classifier = linear_classifier(
-        model, float(params.get("C", 1.0)), n_rows, features=stages[-1].getOutputCol(), **options
-    )
-    return Pipeline(stages=[*stages, classifier])
-
-
-def _linear_predictions(
-    train: DataFrame, holdout: DataFrame, doc_id: str, text: str, label: str, model: str, features: Features, params: Mapping
+def _embedding_predictions(
+    train: DataFrame, holdout: DataFrame, doc_id: str, text: str, label: str, params: Mapping
 ) -> DataFrame:
     """``doc, pred`` for the holdout rows."""
     codes = written(label_codes(train, label), "label-codes")
-    if model == "FastText":
-        prepared = {"words": word_ngrams(text, int(params.get("wordNgrams", 1)))}
-    else:
-        prepared = {"terms": ngram_tokens(text, features.max_n, features.stop_words)}
+    prepared = {"words": word_ngrams(text, int(params.get("wordNgrams", 1)))}
     needed = label_index(train.select(label, text), label).select("label_code", text).withColumns(prepared).drop(text)
+    chosen = {k: v for k, v in params.items() if k != "wordNgrams"}
     with cached(needed) as fitting:
-        n_rows = fitting.count()
-        fitted = text_classifier(model, features, params, fitting, n_rows).fit(fitting)
-    warn_unconverged(fitted.stages[-1], int(params.get("max_iter", MAX_ITERATIONS)), model)
+        fitted = embedding_classifier(fitting, fitting.count(), **chosen).fit(fitting)
+    warn_unconverged(fitted.stages[-1], MAX_ITERATIONS, "FastText")
     scored = fitted.transform(holdout.select(F.col(doc_id).alias("doc"), text).withColumns(prepared))
-    coded = scored.select("doc", F.col("prediction").cast("int").alias("_code"))
+    coded = scored.select(F.col("doc").cast("string"), F.col("prediction").cast("int").alias("_code"))
     return label_name(coded, codes.withColumnRenamed(label, "pred"), "_code", "pred").select("doc", "pred")
 
 
+def _weighting(features: Features) -> linear.Weighting:
+    kept = asdict(features)
+    kept.pop("max_n")
+    return linear.Weighting(**kept)
+
+
+def _linear_predictions(
+    train: DataFrame, holdout: DataFrame, doc_id: str, text: str, label: str, model: str, features: Features, params: Mapping
+) -> DataFrame:
+    """``doc, pred`` for the holdout rows, ``doc`` as text."""
+    rows = train.select(doc_id, text, label, F.lit(1).alias("_fold")).unionByName(
+        holdout.select(doc_id, text, label, F.lit(0).alias("_fold"))
+    )
+    problem = linear.Problem(features.max_n, 0, float(params.get("C", 1.0)))
+    plan, labels, blocks = linear.prepare(rows, doc_id, text, label, "_fold", [problem], LOSSES[model], _weighting(features))
+    limits = {new: kind(params[k]) for k, new, kind in (("max_iter", "max_steps", int), ("tol", "tol", float)) if k in params}
+    fitted = linear.fit(plan, labels, blocks, **limits)
+    codes = train.sparkSession.createDataFrame(list(enumerate(labels)), ["code", "pred"])
+    found = linear.predictions(fitted).select("doc", "code")
+    return found.join(F.broadcast(codes), "code").select("doc", "pred")
+
+
 def fit_predict(
     train: DataFrame,
     holdout: DataFrame,
@@ -306,16 +253,19 @@ def fit_predict(
         )
         found = nb_predictions(
             rows, doc_id, text, label, "_fold", [0], [features.max_n], [float(chosen.get("alpha", 1.0))]
-        ).select("doc", "pred")
+        ).select(F.col("doc").cast("string"), "pred")
         stored = written(found, "predictions")
     else:
-        found = _linear_predictions(train, holdout, doc_id, text, label, model, features, chosen)
+        if model == "FastText":
+            found = _embedding_predictions(train, holdout, doc_id, text, label, chosen)
+        else:
+            found = _linear_predictions(train, holdout, doc_id, text, label, model, features, chosen)
         start = time.perf_counter()
         stored = written(found, "predictions")
     seconds = (time.perf_counter() - start) / max(stored.count(), 1)
-    records = holdout.select(F.col(doc_id).alias("doc"), label, text).join(stored, "doc", "left")
+    records = holdout.select(F.col(doc_id).cast("string").alias("doc"), label, text).join(stored, "doc", "left")
     return records.select(
-        F.col("doc").cast("string").alias("demanda_id"),
+        F.col("doc").alias("demanda_id"),
         F.col(label).alias("classificacao_real"),
         F.lit(f"ML_{origin}").alias("prompt_id"),
         F.lit(model).alias("modelo_id"),
@@ -369,49 +319,28 @@ def grid_cv(
     model: str,
     max_ngrams: Sequence[int] = (1, 2),
     cs: Sequence[float] = (0.1, 1.0, 10.0),
-    parallelism: int = PARALLEL_FITS,
-    max_iter: int = MAX_ITERATIONS,
-    tol: float = TOLERANCE,
+    max_steps: int = linear.MAX_STEPS,
+    tol: float = linear.TOLERANCE,
 ) -> DataFrame:
-    """Mean macro F1 over the folds of every (n-gram range, C), best first.
+    """Mean macro F1 over the folds of every (n-gram range, C), best first: ``model, max_n, C, mean_score, n_folds, n_steps``.
 
-    Terms are counted once per n-gram range. The weights of terms are fitted
-    once per training fold, where unseen terms get none, and serve every C.
-    Folds come from a column, so they can be stratified. Rows without a label
-    are left out.
+    All configurations and folds are one optimisation: a step is one pass over
+    the terms for all of them, and ``n_steps`` is the number of steps. Weights
+    of terms come from each training fold, where unseen terms get none. Folds
+    come from a column, so they can be stratified. Rows without a label are
+    left out.
     """
     spark = df.sparkSession
-    named = df.where(F.col(label).isNotNull()).select(text, label, F.col(fold).cast("int").alias("fold"))
-    terms = {n: f"terms_{n}" for n in max_ngrams}
-    named = named.withColumns({terms[n]: ngram_tokens(text, n) for n in max_ngrams}).drop(text)
-    with cached(label_index(named, label).drop(label)) as rows:
-        folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-        scores = {}
-        for n in max_ngrams:
-            counted = counter(rows, terms[n], "tf", Features()).fit(rows).transform(rows)
-            with cached(counted.select("label_code", "fold", "tf")) as table:
-                table.count()
-
-                def fits(f: int, n: int = n, table: DataFrame = table) -> None:
-                    train, valid = table.where(F.col("fold") != f), table.where(F.col("fold") == f)
-                    idf = SmoothIdf(inputCol="tf", outputCol="tfidf").fit(train)
-                    norm = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
-                    with cached(norm.transform(idf.transform(train)).select("label_code", "features")) as fitting:
-                        n_train = fitting.count()
-                        for c in cs:
-                            fitted = linear_classifier(model, c, n_train, max_iter=max_iter, tol=tol).fit(fitting)
-                            warn_unconverged(fitted, max_iter, f"{model} (C={c}, n={n}, fold {f})")
-                            found = fitted.transform(norm.transform(idf.transform(valid)))
-                            found = found.select("label_code", F.col("prediction").cast("int").alias("code"))
-                            scores[n, c, f] = macro_f1(found, "label_code", "code")
-
-                # Each fit gets a copy of the session's properties of its own.
-                with ThreadPoolExecutor(parallelism) as pool:
-                    done = [pool.submit(inheritable_thread_target(spark)(fits), f) for f in folds]
-                    for job in done:
-                        job.result()
-    result = [
-        (model, n, float(c), sum(scores[n, c, f] for f in folds) / len(folds), len(folds)) for n in max_ngrams for c in cs
-    ]
-    table = spark.createDataFrame(result, "model string, max_n int, C double, mean_score double, n_folds int")
-    return table.orderBy(F.col("mean_score").desc(), "max_n", "C")
+    rows = df.where(F.col(label).isNotNull()).select(text, label, F.col(fold).cast("int").alias("fold"))
+    rows = rows.withColumn("doc", F.monotonically_increasing_id())
+    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    problems = [linear.Problem(n, f, float(c)) for n in max_ngrams for c in cs for f in folds]
+    plan, labels, blocks = linear.prepare(rows, "doc", text, label, "fold", problems, LOSSES[model], linear.Weighting())
+    fitted = linear.fit(plan, labels, blocks, max_steps, tol)
+    numbered = [(i, p.max_n, p.c) for i, p in enumerate(problems)]
+    config = spark.createDataFrame(numbered, "problem long, max_n int, C double")
+    scores = macro_scores(confusion(linear.predictions(fitted), "y", "code", ["problem"]), ["problem"])
+    ranked = cv_mean_score(scores.join(F.broadcast(config), "problem"), ["max_n", "C"])
+    return ranked.select(
+        F.lit(model).alias("model"), "max_n", "C", "mean_score", F.col("n_folds").cast("int"), F.lit(fitted.steps).alias("n_steps")
+    ).orderBy(F.col("mean_score").desc(), "max_n", "C")

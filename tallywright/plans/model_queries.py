@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
-from ..operators import bayes, classifiers, unions, windows
+from ..operators import bayes, classifiers, linear, unions, windows
 from ..operators.metrics import leaderboard
 from ..operators.sampling import stratified_folds, stratified_split
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import runs
 from . import derived
 from .derived import FOLDS, SPLIT, sql_scores
@@ -141,6 +141,41 @@ def holdout_report(spark, sf_dir):
     return report.select("modelo_id", "label", "support", F.lit(_beats(records)).alias("beats_majority"))
 
 
+@query(
+    "stored_model",
+    f"""WITH {SPLIT} SELECT CAST(doc_id AS VARCHAR) AS doc_id, true AS as_fitted FROM split WHERE part = 'holdout'""",
+)
+def stored_model(spark, sf_dir):
+    """A fit written as tables of terms and classes, read back, and applied to documents that it predicted when fitted."""
+    split = stratified_split(derived.split_documents(spark, sf_dir), "doc_id", "lang")
+    rows = split.withColumn("fold", (F.col("part") == "train").cast("int"))
+    problem = linear.Problem(1, 0, 1.0)
+    plan, labels, blocks = linear.prepare(rows, "doc_id", "text", "lang", "fold", [problem], "squared_hinge", linear.Weighting())
+    fitted = linear.fit(plan, labels, blocks)
+    terms, classes = (written(t, "model") for t in linear.stored_model(fitted))
+    holdout = rows.where("fold = 0").select(F.col("doc_id").cast("string"), "text")
+    scored = linear.score(terms, classes, holdout, "doc_id", "text", problem.max_n)
+    direct = linear.predictions(fitted).join(F.broadcast(classes), "code").select(F.col("doc").alias("doc_id"), "label")
+    return scored.join(direct, "doc_id").select("doc_id", (F.col("pred") == F.col("label")).alias("as_fitted"))
+
+
+@query("holdout_report_full")
+def holdout_report_full(spark, sf_dir):
+    """Precision, recall, F1 and averages of the best configuration of each model, searched on the training rows."""
+    train, holdout = _parts(spark, sf_dir)
+    folded = stratified_folds(train.drop("part"), "doc_id", "lang")
+    records = []
+    for model in ("LogisticRegression", "LinearSVC"):
+        best = classifiers.grid_cv(folded, "text", "lang", "fold", model, max_ngrams=(1,)).first()
+        params = {"C": best["C"], "ngram_range": [1, best["max_n"]]}
+        records.append(classifiers.fit_predict(train, holdout, "doc_id", "text", "lang", model, params))
+    ranked = bayes.nb_grid_cv(folded, "doc_id", "text", "lang", "fold")
+    best = ranked.orderBy(F.col("mean_score").desc(), "max_n", "alpha").first()
+    params = {"alpha": best["alpha"], "ngram_range": [1, best["max_n"]]}
+    records.append(classifiers.fit_predict(train, holdout, "doc_id", "text", "lang", "NaiveBayes", params))
+    return classifiers.holdout_report(unions.union_results(*records))
+
+
 def sql_search(model: str) -> str:
     return f"""SELECT '{model}' AS model, n AS max_n, c AS "C", 5 AS n_folds, true AS beats_majority
 FROM (VALUES (1), (2)) a(n), (VALUES (CAST(0.1 AS DOUBLE)), (1), (10)) b(c)"""
@@ -153,6 +188,12 @@ def _search(spark, sf_dir, model):
     return found.select("model", "max_n", "C", "n_folds", (F.col("mean_score") > floor).alias("beats_majority"))
 
 
+@query("grid_cv_ranking")
+def grid_cv_ranking(spark, sf_dir):
+    """The whole result of the search: mean scores, their order, and the steps that all fits together took."""
+    return classifiers.grid_cv(derived.fold_documents(spark, sf_dir), "text", "lang", "fold", "LogisticRegression")
+
+
 @query("grid_cv", sql_search("LogisticRegression"))
 def grid_cv(spark, sf_dir):
     return _search(spark, sf_dir, "LogisticRegression")

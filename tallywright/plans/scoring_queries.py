@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS, canonical_label, clean_answer, hit_flag, prompt_strategy
 from ..functions.text import render_prompt
-from ..operators import metrics, scoring
+from ..operators import ledger, metrics, scoring
 from ..operators.joins import cross_prompt_model
 from ..session import scratch_path
 from ..streaming import results
@@ -56,6 +56,21 @@ def score_batch(spark, sf_dir):
     return scored.select("doc_id", "prompt_id", "model_id", "raw_text", "erro", "try_count")
 
 
+@query(
+    "score_once",
+    f"""WITH {SCORED} SELECT doc_id, prompt_id, model_id,
+  'Analisando o texto...' || chr(10) || 'Categoria: ' || answer AS raw_text, erro, try_count FROM scored""",
+)
+def score_once(spark, sf_dir):
+    """The same through a ledger of calls; a second run finds all of them there."""
+    calls = cross_prompt_model(table(spark, sf_dir, "documents").select("doc_id", "text"), PROMPTS, MODELS)
+    calls = calls.withColumn("prompt", render_prompt("template", "text")).drop("template")
+    path = scratch_path(spark, "ledger")
+    ledger.score_once(calls, length_scorer, path, base_backoff=0.0)
+    scored = ledger.score_once(calls, length_scorer, path, base_backoff=0.0)
+    return scored.select("doc_id", "prompt_id", "model_id", "raw_text", "erro", "try_count")
+
+
 @query(
     "benchmark_leaderboard",
     f"""WITH {SCORED}, judged AS (SELECT model_id AS model, prompt_id,

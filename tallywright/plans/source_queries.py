@@ -263,9 +263,10 @@ def pipe_round_trip(spark, sf_dir):
 def append_results(spark, sf_dir):
     path = scratch_path(spark, "appended")
     rows = derived.predictions(spark, sf_dir).select("kind", "item_id", "model", "pred_label")
-    for kind in ("ML", "LLM"):
-        sinks.append_results(rows.where(F.col("kind") == kind), path)
-    return spark.read.parquet(path)
+    # Every batch comes twice, as after a job that was started again.
+    for batch, kind in [*enumerate(("ML", "LLM"))] * 2:
+        sinks.append_results(rows.where(F.col("kind") == kind), path, "results", batch)
+    return sinks.read_appended(spark, path)
 
 
 @query(

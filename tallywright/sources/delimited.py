@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import flatten_text
+from .records import split_records
 
 # Headers that stand for the text and the label column.
 HEADER_ALIASES = {
@@ -66,11 +67,13 @@ def read_rows(
     """All columns as strings. Lines with too many fields are skipped, short ones padded with null."""
     columns = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _CORRUPT]])
-    rows = (
-        spark.read.options(**_options(sep, multi_line), mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
-        .schema(schema)
-        .csv(path)
-    )
+    if multi_line:
+        records = split_records(spark, path, sep).where("place > 1 AND record != ''")
+        options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        rows = records.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+    else:
+        options = _options(sep, multi_line) | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        rows = spark.read.options(**options).schema(schema).csv(path)
     # Only lines with an unexpected field count carry their raw text; count their fields outside quotes.
     unquoted = F.regexp_replace(_CORRUPT, '"(?:[^"]|"")*"', "")
     fields = F.size(F.split(unquoted, "\\" + sep if sep in "|" else sep))
@@ -94,8 +97,8 @@ def load_labelled_text(
     renamed; failing that, the first two columns are taken by position. Rows
     without a text or a label are dropped.
 
-    ``multi_line`` lets quoted cells span lines, at the price of one task per
-    file; turn it off for large files with one record per line.
+    ``multi_line`` lets quoted cells span lines; such files are read in splits
+    like others, with a shuffle that puts records together.
     """
     for sep in separators:
         names = read_header(spark, path, sep, multi_line)

@@ -1,5 +1,7 @@
 """Readers and writers on hand-made files."""
 
+import csv
+import io
 import json
 import os
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywright.plans.prompts import load_prompts
 from tallywright.sources import delimited, runs, sinks
+from tallywright.sources.records import split_records
 from tallywright.sources.store import load_or_create
 
 
@@ -126,7 +129,40 @@ def test_append(spark, tmp_path):
     path = str(tmp_path / "t")
     for i in range(3):
         sinks.append_results(spark.range(i, i + 1), path)
-    assert spark.read.parquet(path).count() == 3
+    for _ in range(2):
+        sinks.append_results(spark.range(7, 9), path, "job", "b1")
+    # A batch that was cut short has rows but no entry in the manifest.
+    spark.range(50).write.parquet(f"{path}/part=half")
+    assert sorted(r["id"] for r in sinks.read_appended(spark, path).collect()) == [0, 1, 2, 7, 8]
+    with pytest.raises(ValueError, match="name"):
+        sinks.append_results(spark.range(1), path, "a/b")
+
+
+@pytest.mark.parametrize("split_bytes", [40, 1 << 20])
+def test_records_that_span_lines_and_splits(spark, tmp_path, split_bytes):
+    cells = ["plain", "two\nlines", 'a "quoted" word', "semi; colon", "", "x\n\n\ny", '"', 'ends with "', "a\n\"b\"\nc"]
+    rows = [(str(i), cells[i % len(cells)], cells[(i * 5 + 2) % len(cells)]) for i in range(120)]
+    out = io.StringIO(newline="")
+    csv.writer(out, delimiter=";", lineterminator="\n", quoting=csv.QUOTE_MINIMAL).writerows([("id", "t", "u"), *rows])
+    path = put(tmp_path / "in.csv", out.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    try:
+        found = delimited.read_rows(spark, path, ";", ["id", "t", "u"])
+        records = split_records(spark, path, ";")
+        got = sorted(((r["id"], r["t"] or "", r["u"] or "") for r in found.collect()), key=lambda r: int(r[0]))
+        assert got == rows
+        assert [r["place"] for r in records.orderBy("place").collect()] == list(range(1, 122))
+        if split_bytes == 40:
+            assert spark.read.text(path).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quotes_inside_unquoted_cells(spark, tmp_path):
+    path = put(tmp_path / "in.csv", 'id;t\n1;5" pipe\n2;"a\nb"\n3;x"y"z\n')
+    found = delimited.read_rows(spark, path, ";", ["id", "t"]).orderBy("id").collect()
+    assert [(r["id"], r["t"]) for r in found] == [("1", '5" pipe'), ("2", "a\nb"), ("3", 'x"y"z')]
 
 
 def test_unfit_separators_are_refused(spark, tmp_path):
