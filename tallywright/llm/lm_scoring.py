@@ -55,8 +55,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, texts, ids, held, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
     def row():
+        # Training texts first, so that their symbols are one run.
+        nonlocal texts, ids, held
+        texts, ids, held = zip(*sorted(zip(texts, ids, held), key=lambda r: r[2]))
         data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-        columns = [[block], [ids], [held], [[len(t) for t in texts]], [data]]
+        columns = [[block], [list(ids)], [list(held)], [[len(t) for t in texts]], [data]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PACKED.split(", ")])
 
@@ -82,17 +85,9 @@ def _texts(row: dict) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _code() -> tuple[np.ndarray, np.ndarray]:
-    """Per byte, its symbols (three columns) and how many count: one for PLAIN bytes, else an escape and two halves."""
-    symbols, counts = np.zeros((256, 3), np.uint8), np.full(256, 3, np.uint8)
-    for byte in range(256):
-        symbols[byte] = (SYMBOLS - 1, byte >> 5, byte & 31)
-    for place, byte in enumerate(PLAIN):
-        symbols[byte, 0], counts[byte] = place, 1
-    return symbols, counts
-
-
-CODE, CODE_LENGTHS = _code()
+#: Per byte, its own symbol, or the escape.
+CODE = np.full(256, SYMBOLS - 1, np.uint8)
+CODE[list(PLAIN)] = np.arange(len(PLAIN))
 
 
 class Stream:
@@ -100,15 +95,18 @@ class Stream:
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b"".join(texts), np.uint8)
-        counts = CODE_LENGTHS[data]
+        own = CODE[data]
+        escaped = np.nonzero(own == SYMBOLS - 1)[0]
+        counts = np.ones(len(data), np.uint8)
+        counts[escaped] = 3
+        self.symbols = np.repeat(own, counts)
+        at = escaped + 2 * np.arange(len(escaped))
+        self.symbols[at + 1], self.symbols[at + 2] = data[escaped] >> 5, data[escaped] & (SYMBOLS - 1)
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(counts, dtype=np.int64)[np.cumsum(self.sizes) - 1] if texts else np.empty(0, np.int64)
+        ends = np.cumsum(self.sizes)
+        ends += 2 * np.searchsorted(escaped, ends)
         self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         self.lengths = ends - self.starts
-        if counts.size and counts.max() == 3:
-            self.symbols = CODE[data][np.arange(3) < counts[:, None]]
-        else:
-            self.symbols = CODE[data, 0]
 
     def keys(self, order: int, at: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The ``order`` symbols before each position of ``at``, whose document begins at ``first``, with the order on top."""
@@ -196,10 +194,10 @@ def _gathered(parts: int):
     def of_block(row: dict) -> pa.RecordBatch:
         texts, held = _texts(row), np.array(row["held"], bool)
         stream = Stream(texts)
-        trained = np.repeat(~held, stream.lengths)
+        trained = int(stream.lengths[~held].sum())
         pairs, counts = [], []
         for _, number, position, own in stream.pairs():
-            counts.append(np.bincount(number[trained], minlength=len(position)).astype(np.int32))
+            counts.append(np.bincount(number[:trained], minlength=len(position)).astype(np.int32))
             pairs.append(own * SYMBOLS + stream.symbols[position])
         pairs, counts = np.concatenate(pairs), np.concatenate(counts)
         # A multiplicative hash spreads the contexts.
