@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
-from ..operators import bayes, classifiers, linear, unions, windows
+from ..operators import bayes, classifiers, halving, linear, unions, windows
 from ..operators.metrics import leaderboard
 from ..operators.sampling import stratified_folds, stratified_split
 from ..session import scratch_path, written
@@ -188,6 +188,14 @@ def _search(spark, sf_dir, model):
     return found.select("model", "max_n", "C", "n_folds", (F.col("mean_score") > floor).alias("beats_majority"))
 
 
+@query("successive_halving")
+def successive_halving(spark, sf_dir):
+    """Draws of linear SVMs, one per region, halved on growing shares of the training rows."""
+    folded = derived.fold_documents(spark, sf_dir)
+    draws = halving.linear_draws(table(spark, sf_dir, "region"), "r_regionkey")
+    return halving.successive_halving(folded, draws, "doc_id", "text", "lang", model_loss="squared_hinge")
+
+
 @query("grid_cv_ranking")
 def grid_cv_ranking(spark, sf_dir):
     """The whole result of the search: mean scores, their order, and the steps that all fits together took."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.operators import linear
+from tallywright.operators import halving, linear
 from tallywright.operators.classifiers import grid_cv
 
 WORDS = [f"w{i}x" for i in range(14)]
@@ -124,3 +124,29 @@ def test_empty_and_unlabelled_tables(spark):
     for rows in (df, df.limit(0)):
         plan, labels, blocks = linear.prepare(rows, "id", "text", "label", "fold", [linear.Problem(1, 0, 1.0)], "softmax", linear.Weighting())
         assert labels == [] and linear.predictions(linear.fit(plan, labels, blocks)).count() == rows.count()
+
+
+def test_halving_equals_plain_halving(spark, rows):
+    df = spark.createDataFrame([(*r[:3], r[3] % 3) for r in rows if r[2]], "id long, text string, label string, fold int")
+    draws = spark.createDataFrame([(f"d{i}", 1 + i % 2, 0.1 * 3**i) for i in range(7)], "draw string, max_n int, C double")
+    seen = []
+
+    def scores(some_rows, some):
+        ids = {r["id"] for r in some_rows.collect()}
+        seen.append((ids, [d[0] for d in some]))
+        return {d[0]: round((d[2] * len(ids)) % 1.7, 1) for d in some}
+
+    got = halving.successive_halving(df, draws, "id", "text", "label", scores=scores).collect()
+    assert [len(names) for _, names in seen] == [7, 4, 2]
+    fold_0 = {r[0] for r in rows if r[2] and r[3] % 3 == 0}
+    assert fold_0 < seen[0][0] < seen[1][0] < seen[2][0] == {r[0] for r in rows if r[2]}
+    left = [f"d{i}" for i in range(7)]
+    c = {f"d{i}": 0.1 * 3**i for i in range(7)}
+    for number, (ids, names) in enumerate(seen, 1):
+        assert names == left or sorted(names) == sorted(left)
+        score = {d: round((c[d] * len(ids)) % 1.7, 1) for d in left}
+        left = sorted(left, key=lambda d: (-score[d], d))[: 1 if number == 3 else -(-len(left) // 2)]
+        mine = [r for r in got if r["round"] == number]
+        assert {r["draw"]: r["score"] for r in mine} == score
+        assert {r["draw"] for r in mine if r["survives"]} == set(left)
+    assert all(0.05 <= r["C"] <= 50 and r["max_n"] in (1, 2) for r in halving.linear_draws(spark.range(40), "id").collect())
