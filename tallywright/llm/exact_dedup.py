@@ -172,7 +172,12 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged."""
+    """The rows of ``docs`` that stay, all columns unchanged.
+
+    Defined results: those of ``exact_dedup``; null and blank texts are equal,
+    so one of them stays; of repeated rows one stays; an empty table gives no
+    rows; columns may have any names.
+    """
     rows, row = numbered(docs, "exact-rows")
     dropped = exact_dedup(rows, row_col=row, **options).where("not kept").select(F.col("locator").alias(row))
     return rows.join(written(dropped, "exact-dropped"), row, "left_anti").drop(row)

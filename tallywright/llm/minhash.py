@@ -299,7 +299,12 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each component, all columns unchanged."""
+    """One row of ``docs`` for each component, all columns unchanged.
+
+    Defined results: those of ``near_duplicates``; null and blank texts are
+    linked with nothing, so all of them stay; an empty table gives no rows;
+    columns may have any names.
+    """
     rows, row = numbered(docs, "near-rows")
     dropped = near_duplicates(rows, row_col=row, **options).where("not kept").select(F.col("row").alias(row))
     return rows.join(written(dropped, "near-dropped"), row, "left_anti").drop(row)

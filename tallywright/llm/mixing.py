@@ -133,7 +133,12 @@ def mix(
     source_col: str = "source",
     **options,
 ) -> DataFrame:
-    """The mixed documents: each row as often as the plan says, all columns unchanged."""
+    """The mixed documents: each row as often as the plan says, all columns unchanged.
+
+    Defined results: those of ``mixed_sizes``; a null or blank text has size 0
+    and is repeated like any other of its source; an empty table gives no rows;
+    columns may have any names.
+    """
     _, plan = mixing_plan(docs, id_col=id_col, source_col=source_col, seeds=seeds, **options)
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),

@@ -149,7 +149,8 @@ def write_token_files(
     Defined results: a null text is encoded as the empty one (just ``end_id``);
     a null id sorts first and reads back as null; rows with the same id are
     ordered by a hash of the text; an empty table gives an empty manifest.
-    Only the id and the text are read, so other columns cannot clash.
+    Only the id and the text are read, so other columns cannot clash. Ids are
+    integers; others are an error.
     """
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
