@@ -10,27 +10,27 @@ from tallywright.session import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the limits on repeated words."""
+    """Documents that pass the base rule and the limits on repeated words; null and short texts go, an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal apart from white space, the longest original, then the smallest id."""
+    """Of texts that are equal apart from white space, the longest original, then the smallest id; one of repeated rows stays."""
     return exact_dedup.keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the row with the smallest id."""
+    """Of each component of near duplicates, the row with the smallest id; texts without words are linked with nothing."""
     return minhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for."""
+    """Documents as often as their source's weight asks for; null sources are one source, sizes of 0 do not count."""
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the decoded text of each document, as counts and digests."""
+    """Token ids and the decoded text of each row, as counts and digests; a null text has no tokens, repeated rows give a row each."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
