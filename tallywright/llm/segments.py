@@ -41,6 +41,10 @@ BITMAP = 32_768
 NO_ID = np.iinfo(np.int64).max
 
 
+#: Bits of a gram's hash that its place in the slice replaces; a slice has fewer grams than that.
+PLACE_BITS = 32
+
+
 @dataclass(frozen=True)
 class Shape:
     """``unit`` is "word" or "byte"; windows of ``window`` units, anchors of ``gram`` units."""
@@ -113,8 +117,8 @@ def cut(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, shape: Shape)
     if len(codes) < shape.window:
         return Cut(none, none, none, none)
     grams = gram_hashes(codes, shape.gram)
-    bits = max(int(len(grams)).bit_length(), 1)
-    place = np.uint64((1 << bits) - 1)
+    # The same bits give way to the place in every slice, so that equal windows have equal anchors wherever they lie.
+    place = np.uint64((1 << PLACE_BITS) - 1)
     tagged = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_least(tagged, shape.anchors) & place).astype(np.int64)
     counts = np.maximum(stops - starts - shape.window + 1, 0)

@@ -39,8 +39,9 @@ def scattered(docs: DataFrame, id_col: str, text_col: str, seed: int, bucket_byt
 
     Buckets hold ``bucket_bytes`` on average. Rows that are equal in id and text
     share a bucket. Where such copies swell a bucket to several times its size,
-    its rows are spread over more buckets by arrival; equal rows are
-    exchangeable, so that does not show in the result.
+    its rows are spread over more buckets by arrival. Equal rows are
+    exchangeable, but the order of the other rows of such a bucket then depends
+    on the layout of the input's files too.
     """
     total = docs.agg(F.coalesce(F.sum(text_bytes(text_col)), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_bytes))

@@ -264,3 +264,19 @@ def test_equal_windows_share_a_route():
         for i in range(s, s + n):
             key = codes[base + i : base + i + 12].tobytes()
             assert route.setdefault(key, r) == r
+
+
+def test_anchors_do_not_depend_on_the_slice(monkeypatch):
+    # Hashes that differ in low bits only: short and long slices must rank them alike.
+    shape = segments.Shape("byte", 12, 4)
+    draw = np.random.default_rng(9)
+    own = draw.integers(0, 256, 300).astype(np.uint64)
+    noise = draw.integers(0, 256, 200_000).astype(np.uint64)
+    monkeypatch.setattr(segments, "gram_hashes", lambda codes, m: (codes[: len(codes) - m + 1] << np.uint64(12)) + np.uint64(1 << 50))
+
+    def routes(codes, starts, stops):
+        found = segments.cut(codes, np.array(starts), np.array(stops), shape)
+        last = found.document == len(starts) - 1
+        return [x[last].tolist() for x in (found.route, found.start, found.windows)]
+
+    assert routes(own, [0], [300]) == routes(np.concatenate([noise, own]), [0, 200_000], [200_000, 200_300])
