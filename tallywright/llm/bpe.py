@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import load, slices
 
 LEAF = 8
-MEMORY_WORDS, MEMORY_CHARS = 150_000, 48
+MEMORY_WORDS, MEMORY_CHARS = 500_000, 48
 BATCH_BYTES = 8 << 20
 
 
