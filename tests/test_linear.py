@@ -121,9 +121,13 @@ def test_a_rare_label_is_learned(spark):
 
 def test_empty_and_unlabelled_tables(spark):
     df = spark.createDataFrame([(1, "aa", None, 0)], "id long, text string, label string, fold int")
-    for rows in (df, df.limit(0)):
+    blank = df.unionByName(spark.createDataFrame([(2, "", "x", 1), (3, None, "y", 1), (4, "", None, 0)], df.schema)).where("id > 1")
+    for rows in (df, df.limit(0), blank):
         plan, labels, blocks = linear.prepare(rows, "id", "text", "label", "fold", [linear.Problem(1, 0, 1.0)], "softmax", linear.Weighting())
-        assert labels == [] and linear.predictions(linear.fit(plan, labels, blocks)).count() == rows.count()
+        fitted = linear.fit(plan, labels, blocks)
+        assert labels == ["x", "y"][: 2 * (rows is blank)]
+        assert linear.predictions(fitted).count() == rows.where("fold = 0").count()
+        assert linear.stored_model(fitted)[0].count() == 0
 
 
 def test_halving_equals_plain_halving(spark, rows):
