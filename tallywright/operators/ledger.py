@@ -2,8 +2,8 @@
 
 Every call has a key, the hash of model and prompt. The ledger is a table of
 outcomes, one committed folder per batch. A job first takes the keys that no
-committed batch holds (anti-join), deals them into batches by their hash, and
-commits one batch after the other. A job that dies loses the calls of its open
+committed batch holds (one anti-join), stores them as batches by their hash, and
+scores and commits one batch after the other. A job that dies loses the calls of its open
 batch only; started again, it does not repeat the others.
 """
 
@@ -14,9 +14,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cleaned, scratch_path, written
 from .scoring import Scorer, score_batch
 
 CALLS_IN_A_BATCH = 100_000
+#: Tasks that a batch is scored in.
+TASKS = 16
 OUTCOME = "call_key string, raw_text string, tempo_s double, erro string, try_count int"
 
 
@@ -66,14 +69,25 @@ def score_once(
     spark = df.sparkSession
     keyed = df.withColumn("call_key", call_key(model, prompt))
     calls = keyed.groupBy("call_key").agg(F.first(model).alias("_model"), F.first(prompt).alias("_prompt"))
-    while True:
-        left = calls.join(answered(spark, ledger).select("call_key"), "call_key", "left_anti")
-        n = left.count()
-        if not n:
-            break
-        # A share of the open calls, by hash: another job that runs beside this one takes the same ones first.
-        share = F.conv(F.substring("call_key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-        batch = left.where(share < F.lit(2.0 * calls_in_a_batch / n)) if n > calls_in_a_batch else left
-        scored = score_batch(batch if not batch.isEmpty() else left, scorer, "_model", "_prompt", base_backoff)
+    # A place by hash: another job that runs beside this one takes the same calls first.
+    place = F.conv(F.substring("call_key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    left = calls.join(answered(spark, ledger).select("call_key"), "call_key", "left_anti")
+    left = written(left.withColumn("_place", place), "open-calls")
+    batches = -(-left.count() // calls_in_a_batch)
+    # The open calls are stored once, by batch: a batch reads its own folder only, whatever their number.
+    number = F.least(F.floor(F.col("_place") * F.lit(batches)), F.lit(batches - 1)).cast("int")
+    folder = scratch_path(spark, "call-batches")
+    if batches:
+        dealt = left.withColumn("_batch", number).repartition("_batch", F.pmod(F.xxhash64("call_key"), F.lit(TASKS)))
+        with cleaned(spark):
+            dealt.write.partitionBy("_batch").parquet(folder)
+    system, root = _folder(spark, folder)
+    held = {s.getPath().getName() for s in system.listStatus(root)} if batches else set()
+    for turn in range(batches):
+        if f"_batch={turn}" not in held:
+            continue
+        batch = spark.read.schema(left.schema).parquet(f"{folder}/_batch={turn}").repartition(TASKS)
+        # The condition always holds; with it, whatever reads the table makes the calls.
+        scored = score_batch(batch, scorer, "_model", "_prompt", base_backoff).where("try_count IS NOT NULL")
         _commit(spark, scored.select("call_key", "raw_text", "tempo_s", "erro", "try_count"), ledger)
     return keyed.join(answered(spark, ledger), "call_key").drop("call_key")
