@@ -34,7 +34,7 @@ from .common import byte_texts, crc32_sql, load, slices
 
 #: Symbols of context of each predictor, from 1 in steps of 2.
 ORDERS = (1, 3, 5)
-BLOCK_BYTES, SEGMENT, LANES = 4 << 20, 2048, 2048
+BLOCK_BYTES, SEGMENT, LANES = 4 << 20, 2048, 1024
 #: Bytes of text for each part that contexts and words are dealt into.
 PART_BYTES = 16 << 20
 #: First weight, step of the weights, added to counts.
@@ -129,20 +129,25 @@ class Stream:
         last_two[1:] += self.symbols[:-1].astype(np.int32) * SYMBOLS
         last_two[self.starts] = PLAIN.index(END) * SYMBOLS + self.symbols[self.starts].astype(np.int32)
         before, number, shorter = np.zeros(size, np.int32), None, 0
+        places = np.arange(size, dtype=np.int32)
         for order in ORDERS:
             if number is not None:
                 before[2:] = number[:-2]
                 # A document starts in a context of its own.
                 before[self.starts] = shorter
                 before[np.minimum(self.starts + 1, self.starts + self.lengths - 1)] = shorter
-            key = before * np.int32(SYMBOLS**2) + last_two
+            key = before * np.int32(SYMBOLS**2)
+            key += last_two
             marks = np.zeros((shorter + 1) * SYMBOLS**2, bool)
             marks[key] = True
-            numbers = np.cumsum(marks, dtype=np.int32) - np.int32(1)
+            marked = np.flatnonzero(marks)
+            shorter = len(marked)
+            # Only marked places are ever written or read.
+            numbers = np.empty(len(marks), np.int32)
+            numbers[marked] = np.arange(shorter, dtype=np.int32)
             number = numbers[key]
-            shorter = int(numbers[-1]) + 1
             position = np.empty(shorter, np.int64)
-            position[number] = np.arange(size, dtype=np.int32)
+            position[number] = places
             first = self.starts[np.searchsorted(self.starts, position, side="right") - 1]
             yield order, number, position, self.keys(order, position, first)
 
@@ -308,24 +313,37 @@ def log2_of(stream: Stream, table: Table) -> np.ndarray:
     by_length = np.argsort(-lengths, kind="stable")
     gates, orders = len(ORDERS) + 1, len(ORDERS)
     total = np.zeros(len(owner))
+    rows = table.rows.reshape(len(table.rows), -1)
+    known = np.count_nonzero(table.rows[:, :, 0], axis=1)
     for first in range(0, len(owner), LANES):
         lanes = by_length[first : first + LANES]
         start, length, n = starts[lanes], lengths[lanes], len(lanes)
-        weights = np.full((n * gates, orders, BITS), WEIGHT, np.float32)
+        weights = np.full((n * gates, orders * BITS), WEIGHT, np.float32)
         row_base = np.arange(n) * gates
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
         found = np.zeros(n)
         for step in range(int(length[0])):
             a = int(active[step])
-            inputs = table.rows.take(table.numbers.take(start[:a] + step), axis=0)
-            row = row_base[:a] + np.count_nonzero(inputs[:, :, 0], axis=1)
+            number = table.numbers.take(start[:a] + step)
+            inputs, row = rows.take(number, axis=0), known.take(number)
+            row += row_base[:a]
             weight = weights.take(row, axis=0)
-            mix = np.clip(np.einsum("akb,akb->ab", weight, inputs), -MOST, MOST)
-            p = 1 / (1 + np.exp(-mix))
-            inputs *= (STEP * (1 - p))[:, None, :]
+            each = weight * inputs
+            mix = each[:, :BITS].copy()
+            for order in range(1, orders):
+                mix += each[:, order * BITS : (order + 1) * BITS]
+            # A bit's probability is 1 / (1 + odds against it).
+            against = np.exp(-np.minimum(np.maximum(mix, -MOST), MOST))
+            whole = against + 1
+            product = whole[:, 0].copy()
+            for bit in range(1, BITS):
+                product *= whole[:, bit]
+            found[:a] -= np.log2(product)
+            against /= whole
+            against *= STEP
+            inputs.reshape(a, orders, BITS)[...] *= against[:, None, :]
             inputs += weight
             weights[row] = inputs
-            found[:a] += np.log2(p.prod(axis=1))
         total[lanes] = found
     return np.bincount(owner, weights=total, minlength=len(parts))
 
