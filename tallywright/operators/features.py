@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import counted, ngram_tokens
-from ..session import written
-from .sizing import SMALL_ROWS, join_key_stats
+from . import linear
+from .sizing import SMALL_ROWS
+
+#: Rows of a block that are made at once.
+ROWS_AT_ONCE = 50_000
 
 
 def term_counts(
@@ -63,18 +69,54 @@ def tfidf(
     norm: str | None = "l2",
     max_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """(document, term, tf, df, weight) for every term of every document."""
-    counts = written(term_counts(df, doc_id, text, max_n, stop_words, binary), "postings")
-    n_docs = df.count()
-    frequencies = document_frequency(counts, n_docs, min_df, max_df)
-    joined = join_key_stats(counts, frequencies, ["term"], "df", max_rows)
-    idf = smooth_idf(F.col("df"), n_docs) if use_idf else F.lit(1.0)
-    weighted = joined.withColumn("weight", F.col("tf") * idf)
-    per_doc = Window.partitionBy(doc_id)
-    if norm == "l2":
-        weighted = weighted.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(per_doc)))
-    elif norm == "l1":
-        weighted = weighted.withColumn("weight", F.col("weight") / F.sum(F.abs("weight")).over(per_doc))
-    elif norm is not None:
+    """(document, term, tf, df, weight) for every term of every document.
+
+    Documents are held in the blocks of ``linear.py``, of up to ``max_rows``
+    documents: a term is exchanged once for each block, for its document
+    frequency, not once for each document, and a document's norm is added up
+    inside its block.
+    """
+    if norm not in (None, "l1", "l2"):
         raise ValueError(f"unknown norm {norm!r}")
-    return weighted.select(doc_id, "term", "tf", "df", "weight")
+    weighting = linear.Weighting(min_df, max_df, binary, use_idf, norm, tuple(stop_words))
+    rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.lit("all").alias("label"), F.lit(1).alias("fold"))
+    # No document is of fold 0, so that all count.
+    problem = [linear.Problem(max_n, 0, 1.0)]
+    plan, _, blocks = linear.prepare(rows, "doc", "text", "label", "fold", problem, "softmax", weighting, block_rows=max_rows)
+    found = blocks.select("payload", "names").mapInArrow(_weights(plan), "doc string, term string, tf long, df long, weight double")
+    return found.select(F.col("doc").cast(df.schema[doc_id].dataType).alias(doc_id), "term", "tf", "df", "weight")
+
+
+def _weights(plan: linear.Plan):
+    """Rows of a block's documents and terms."""
+
+    def rows_of(payload: bytes, names: bytes) -> Iterator[pa.RecordBatch]:
+        block, kept = linear.Block(payload, plan), pickle.loads(names)
+        docs, n, norm = pa.array(kept["docs"], pa.string()), len(block.y), plan.weighting.norm
+        scales = [plan.scale(section["df"], section["words"])[:, 0] for section in block.sections]
+        sizes = np.zeros(n)
+        for section, scale in zip(block.sections, scales):
+            owner = np.repeat(np.arange(n), section["sizes"])
+            value = section["tf"] * scale[section["index"]]
+            sizes += np.bincount(owner, value * value if norm == "l2" else value, n)
+        sizes = np.sqrt(sizes) if norm == "l2" else sizes if norm else np.ones(n)
+        for section, scale, listed in zip(block.sections, scales, kept["terms"]):
+            terms = linear._unpacked(listed).column("name").cast(pa.string()).combine_chunks()
+            owner = np.repeat(np.arange(n), section["sizes"])
+            for low in range(0, len(owner), ROWS_AT_ONCE):
+                some, index, tf = (x[low : low + ROWS_AT_ONCE] for x in (owner, section["index"], section["tf"]))
+                columns = {
+                    "doc": docs.take(pa.array(some)),
+                    "term": terms.take(pa.array(index)),
+                    "tf": pa.array(tf.astype(np.int64)),
+                    "df": pa.array(section["df"][index, 0].astype(np.int64)),
+                    "weight": pa.array(tf * scale[index] / sizes[some]),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, names in zip(batch.column("payload"), batch.column("names")):
+                yield from rows_of(payload.as_py(), names.as_py())
+
+    return run

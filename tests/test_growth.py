@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallywright.operators import bayes, ledger, linear
+from tallywright.operators import bayes, features, ledger, linear
 from tallywright.session import CLEANUP, written
 
 
@@ -55,3 +55,24 @@ def test_cleanup_leaves_the_setting_as_it_was(spark):
     before = spark.conf.get(CLEANUP, None)
     rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     assert written(rows).count() == 7 and spark.conf.get(CLEANUP, None) == before
+
+
+def test_tfidf_moves_no_row_for_each_word_of_a_document(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 23}x" for k in range(1, 9)), i % 3) for i in range(60)] + [(60, None, 0), (61, "", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, other long").repartition(3)
+    found = features.tfidf(df, "id", "text", max_n=2, max_rows=7)
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1] and dict(found.dtypes)["id"] == "bigint"
+    counts = {}
+    for i, text, _ in rows:
+        words = (text or "").split()
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            counts.setdefault(i, {}).setdefault(term, 0)
+            counts[i][term] += 1
+    dfs = {t: sum(t in c for c in counts.values()) for c in counts.values() for t in c}
+    wanted = {}
+    for i, c in counts.items():
+        raw = {t: n * (np.log((1 + 62) / (1 + dfs[t])) + 1) for t, n in c.items()}
+        size = np.sqrt(sum(r * r for r in raw.values()))
+        wanted |= {(i, t): (c[t], dfs[t], round(raw[t] / size, 9)) for t in c}
+    assert {(r["id"], r["term"]): (r["tf"], r["df"], round(r["weight"], 9)) for r in found.collect()} == wanted
