@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm import bpe, exact_dedup, minhash, mixing, quality
-from tallywright.session import written
+from tallywright.session import small_batches, written
+
+#: Words that a worker remembers in a task of the last stage; its executor still holds what the stages before took.
+MEMORY_WORDS = 200_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the decoded text of each row, as counts and digests; a null text has no tokens, repeated rows give a row each."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with small_batches(spark):
+        return written(bpe.round_trip(docs, ranks, pattern, memory_words=MEMORY_WORDS, forget=True), "tokens")
 
 
 STAGES = [

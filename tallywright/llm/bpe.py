@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, slices
+from .common import load, released, sliced
 
 LEAF = 8
 MEMORY_WORDS, MEMORY_CHARS = 500_000, 48
@@ -37,16 +37,16 @@ BATCH_BYTES = 8 << 20
 class Memory(dict):
     """Values by word, found once; of two generations of words the older one goes when the newer one is full."""
 
-    def __init__(self, find):
+    def __init__(self, find, most: int = MEMORY_WORDS):
         super().__init__()
-        self.find, self.older = find, {}
+        self.find, self.older, self.most = find, {}, most
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.pop(word, None)
         if found is None:
             found = self.find(word)
         if len(word) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = found
@@ -56,13 +56,13 @@ class Memory(dict):
 class Bpe:
     """Encoder and decoder for one vocabulary of ranks."""
 
-    def __init__(self, ranks_file: str, pattern: str):
+    def __init__(self, ranks_file: str, pattern: str, memory_words: int = MEMORY_WORDS):
         with open(ranks_file, "rb") as lines:
             pairs = (line.split() for line in lines)
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.words = Memory(self.word)
+        self.words = Memory(self.word, memory_words)
         self.stable_pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -89,6 +89,12 @@ class Bpe:
             i = ends[i]
         return parts
 
+    def forget(self) -> None:
+        """Drop the words and pairs of tokens that are remembered."""
+        self.words.clear()
+        self.words.older.clear()
+        self.stable_pairs.clear()
+
     def stable(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are when they stand side by side."""
         key = (left, right)
@@ -139,12 +145,12 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def shared(ranks_file: str, pattern: str, kept: dict = {}) -> Bpe:  # noqa: B006 - one for each worker, on purpose
+def shared(ranks_file: str, pattern: str, memory_words: int = MEMORY_WORDS, kept: dict = {}) -> Bpe:  # noqa: B006 - one for each worker, on purpose
     """The worker's own encoder and decoder of a vocabulary, with the words it remembers."""
-    key = ranks_file, pattern
+    key = ranks_file, pattern, memory_words
     if key not in kept:
         kept.clear()
-        kept[key] = Bpe(ranks_file, pattern)
+        kept[key] = Bpe(*key)
     return kept[key]
 
 
@@ -163,7 +169,7 @@ def encode_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared(ranks_file, pattern)
-        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
+        for batch in sliced(batches, "text", BATCH_BYTES):
             ids = [bpe.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -183,24 +189,34 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared(ranks_file, pattern)
-        for batch in (part for whole in batches for part in slices(whole, "ids", BATCH_BYTES)):
+        for batch in sliced(batches, "ids", BATCH_BYTES):
             texts = [bpe.decode(np.frombuffer(x, "<u4")) if x else b"" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return encoded.mapInArrow(decode, schema)
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame,
+    ranks_file: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    memory_words: int = MEMORY_WORDS,
+    forget: bool = False,
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document: encoded, decoded from the ids, both hashed in place.
 
+    A worker remembers up to twice ``memory_words`` words, with ``forget`` until the end of the task only.
+
     Defined results: those of ``encode_documents``; only digests leave the task.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared(ranks_file, pattern)
-        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
+        bpe = shared(ranks_file, pattern, memory_words)
+        for batch in sliced(batches, "text", BATCH_BYTES):
             counts, ids_sha, decoded_sha = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = bpe.encode(text) if text else b""
@@ -210,6 +226,9 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "do
                 decoded_sha.append(hashlib.sha256(decoded).hexdigest())
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if forget:
+            bpe.forget()
+            released()
 
     return rows.mapInArrow(run, schema)
 

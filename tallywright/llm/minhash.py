@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from ..session import written
-from .common import byte_texts, load, numbered, slices
+from ..session import small_batches, written
+from .common import byte_texts, load, numbered, sliced
 from .components import component_labels
 from .segments import NO_ID, gram_hashes, identified, mixed, split_documents
 
@@ -98,7 +98,7 @@ def _sketches(rows: DataFrame, size: int, bands: int, values: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = MinMax(bands, values)
-        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             sets = shingle_sets(byte_texts(batch.column("text")), size)
             digests = [xxh3_128_intdigest(s.tobytes()) for s in sets]
             halves = [np.array([(d >> k) & ((1 << 64) - 1) for d in digests], np.uint64).view(np.int64) for k in (0, 64)]
@@ -126,7 +126,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     texts = maybe.join(wanted, ["doc_id", "twin"]).select("node", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             sets = [s.view(np.int64) for s in shingle_sets(byte_texts(batch.column("text")), size)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
@@ -259,7 +259,9 @@ def near_duplicates(
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = identified(docs, id_col, text_col)
-    base = written(_sketches(identified(docs, id_col, text_col, row.alias("row")), shingle_words, bands, band_values), "sketches")
+    sketches = _sketches(identified(docs, id_col, text_col, row.alias("row")), shingle_words, bands, band_values)
+    with small_batches(docs.sparkSession):
+        base = written(sketches, "sketches")
     place = F.struct("doc_id", "row", "twin")
     classes = base.where("n_shingles > 0").groupBy("d0", "d1").agg(
         F.min(place).alias("place"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
@@ -274,7 +276,8 @@ def near_duplicates(
     short = classes.where(F.col("n") * percent < SMALL_SET * 100).select("node")
     compared = buckets.select("node").unionByName(short).distinct()
     wanted = classes.join(compared, "node", "left_semi").select("node", "doc_id", "twin")
-    sets = written(_sets_of(rows, wanted, shingle_words), "shingle-sets")
+    with small_batches(docs.sparkSession):
+        sets = written(_sets_of(rows, wanted, shingle_words), "shingle-sets")
     labels = _links(buckets, sets, short, percent)
 
     named = _labelled(classes.select("node", "d0", "d1", "doc_id", "row"), labels, "node", "label")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, byte_texts, load, slices
+from .common import SPACES, byte_texts, load, released, sliced, slices
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -166,7 +166,7 @@ def measure_quality(
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {MEASURES}"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
+        for batch in sliced(batches, "text", SLICE_BYTES):
             found = {k: pa.array(v) for k, v in _measure(batch, limits).items()}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found.values()], names=["doc_id", *found])
 
@@ -187,8 +187,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()
             kept = [pa.array(_measure(part, limits)["kept"]) for part in slices(texts, "text", SLICE_BYTES)]
             if kept:
                 yield whole.filter(pa.chunked_array(kept).combine_chunks())
-            # The worker outlives the stage; what it does not need goes back now.
-            pa.default_memory_pool().release_unused()
+            del whole, texts
+            released()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tallywright.llm import bpe, chat, mixing, quality, sharding, token_files
+from tallywright.llm import bpe, chat, common, mixing, quality, sharding, token_files
 from tallywright.session import scratch_path
 
 WORD_FILE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,15 @@ def test_token_files_equal_the_library(make, spark):
     assert manifest.agg({"n_tokens": "sum"}).first()[0] == start
 
 
+def test_lower_case_ascii_words_need_the_model_only():
+    words, library = token_files.Words(WORD_FILE, "<u2"), Tokenizer.from_file(WORD_FILE)
+    words.encode = None
+    draw = random.Random(5)
+    some = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(1, 30))) for _ in range(2000)]
+    for word in [*some, *"0123456789!~", "'s", "'ll", "...", '"#$%&()*+,-./:;<=>?@[]^_`{|}~', "a" * 5000]:
+        assert np.frombuffer(words[word], "<u2").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_token_files_of_nothing(make, spark):
     folder = scratch_path(spark, "tokens")
     token_files.write_token_files(make([(1, "a")]).limit(0), folder, WORD_FILE, end_id=2)
@@ -118,6 +127,28 @@ def test_bpe_equals_the_library(tokens, library):
         assert tokens.decode(ids) == text.encode()
 
 
+def test_bpe_remembers_no_more_words_than_asked(library):
+    small, text = bpe.Bpe(RANKS, P.PATTERN, memory_words=10), " ".join(f"word{i % 37}x{i}" for i in range(300))
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert len(small.words) <= 10 and len(small.words.older) <= 10
+    small.forget()
+    assert not small.words and not small.words.older and not small.stable_pairs
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_workers_give_back_what_they_freed():
+    def resident():
+        with open("/proc/self/statm") as pages:
+            return int(pages.read().split()[1]) * 4096
+
+    # Values that the allocator keeps on its heap, under one that stays.
+    values = [b"x" * 2000 + bytes([i % 256]) for i in range(50_000)]
+    last, full = values.pop(), resident()
+    del values
+    common.released()
+    assert len(last) == 2001 and resident() < full - (50 << 20)
+
+
 def test_bpe_join_is_associative(tokens):
     text = b"thequickbrownfoxjumpsoverthelazydogandrunsawayintothewoods" * 4
     whole = tokens.merged(text)
