@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +84,13 @@ def _texts(row: dict) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of all texts in a row as codes, the distinct words, and each text's number of words."""
+    coded = pa.array(b"".join(texts).split(), pa.binary()).dictionary_encode()
+    sizes = np.array([t.count(b" ") + 1 if len(t) > 1 else 0 for t in texts], np.int64)
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, sizes
+
+
 #: Per byte, its own symbol, or the escape.
 CODE = np.full(256, SYMBOLS - 1, np.uint8)
 CODE[list(PLAIN)] = np.arange(len(PLAIN))
@@ -207,19 +213,19 @@ def _gathered(parts: int):
         pairs, counts = np.concatenate(pairs), np.concatenate(counts)
         # A multiplicative hash spreads the contexts.
         part = (((pairs >> BITS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % parts
-        order = np.lexsort((pairs, part))
+        order = np.argsort((part << int(pairs.max()).bit_length()) + pairs)
         pairs, counts, part = pairs[order], counts[order], part[order]
-        known, asked = Counter(), {b"\n"}
-        for text, out in zip(texts, held):
-            (asked if out else known).update(text.split())
-        known[b"\n"] = int(np.count_nonzero(~held))
-        asked.difference_update(known)
+        codes, names, sizes = _words(texts)
+        words = [*names.to_pylist(), b"\n"]
+        known = np.bincount(codes[: int(sizes[~held].sum())], minlength=len(names))
+        word_counts = np.append(known, np.count_nonzero(~held)).astype(np.int32)
+        word_part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
         # Sorted words compress well on their way.
-        words = sorted([(zlib.crc32(w) % parts, w) for w in (*known, *asked)])
-        word_part = np.array([p for p, _ in words])
-        word_counts = np.array([known[w] if w in known else 0 for _, w in words], np.int32)
+        by_word = pa.compute.array_sort_indices(pa.array(words, pa.binary())).to_numpy()
+        order = by_word[np.argsort(word_part[by_word], kind="stable")]
+        word_part, word_counts = word_part[order], word_counts[order]
         to = np.union1d(part, word_part)
-        blobs = _blobs(part, word_part, to, pairs, counts, [w for _, w in words], word_counts)
+        blobs = _blobs(part, word_part, to, pairs, counts, [words[i] for i in order.tolist()], word_counts)
         columns = [pa.array(to), pa.array(np.full(len(to), row["block"])), pa.array(blobs, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["part", "block", "data"])
 
@@ -358,16 +364,21 @@ def _scored(docs: pa.Table, given: pa.Table) -> pa.Table:
     pairs, totals, _, words, counts, _ = _unpacked(given)
     order = np.argsort(pairs)
     bits = log2_of(stream, Table(stream, pairs[order], totals[order]))
-    logs = dict(zip(words, np.log10(counts + BASE_ADDED).tolist()))
+    codes, names, sizes = _words(texts)
+    asked = pa.concat_arrays([names, pa.array([b"\n"], pa.binary())])
+    found = pa.compute.index_in(asked, value_set=pa.array(words, pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False)
+    # A word without a count adds nothing here.
+    logs = np.append(np.log10(counts + BASE_ADDED), 0.0)[found]
     unknown = math.log10(BASE_ADDED)
-    n, n_known, base = [], [], []
-    for text in texts:
-        found = [logs.get(t) for t in text.split()]
-        found.append(logs.get(b"\n"))
-        missing = found.count(None)
-        n.append(len(found))
-        n_known.append(len(found) - missing)
-        base.append(math.fsum(x for x in found if x is not None) + unknown * missing)
+    ends = np.cumsum(sizes)
+    known = np.concatenate([[0], np.cumsum(found[codes] >= 0)])
+    n = sizes + 1
+    n_known = known[ends] - known[ends - sizes] + int(found[-1] >= 0)
+    every, end = logs[codes], float(logs[-1])
+    base = [
+        math.fsum([*every[b - size : b].tolist(), end]) + unknown * missing
+        for b, size, missing in zip(ends.tolist(), sizes.tolist(), (n - n_known).tolist())
+    ]
     first = np.arange(len(texts)) == 0
     return pa.table(
         {

@@ -207,6 +207,16 @@ def plain_bits(text, counts):
     return total
 
 
+def test_words_of_a_block_are_counted_together():
+    texts = [b"the of the\n", b"\n", "naïve 漢字 the\n".encode(), b"\n"]
+    codes, names, sizes = lm_scoring._words(texts)
+    names = names.to_pylist()
+    assert sizes.tolist() == [3, 0, 3, 0] and len(set(names)) == len(names)
+    assert [names[c] for c in codes] == [w for t in texts for w in t.split()]
+    codes, names, sizes = lm_scoring._words([b"\n"])
+    assert (len(codes), len(names), sizes.tolist()) == (0, 0, [0])
+
+
 def test_scores_equal_a_plain_model(spark):
     draw = random.Random(8)
     words = "the of and theory Ofen naïve 123 a-b x".split()
