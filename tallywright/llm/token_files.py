@@ -47,14 +47,16 @@ class Words(dict):
     def __init__(self, tokenizer_file: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(tokenizer_file).encode
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
         self.dtype = dtype
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.library(word)
+        # Normaliser and splitter leave a lower-case ASCII word as it is: the library's model alone gives its ids.
+        ids = np.asarray([t.id for t in self.tokenize(word)], self.dtype).tobytes() if word.isascii() else self.library(word)
         if len(word) <= MEMORY_CHARS:
             if len(self) >= MEMORY_WORDS:
                 self.clear()
