@@ -8,7 +8,7 @@ Candidates never multiply within a bucket:
 
 1. documents with equal shingle sets are one class from the start,
 2. each class is checked against the smallest class of its buckets,
-3. in a few rounds, classes outside their bucket's largest component are checked
+3. in ROUNDS rounds, classes outside their bucket's largest component are checked
    against some member of that component, another one in each round,
 4. classes of buckets that still hold several components are joined exactly:
    two sets that are similar enough share one of their rarest shingles (prefix
@@ -34,7 +34,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from ..session import small_batches, written
 from .common import byte_texts, load, numbered, sliced
-from .components import component_labels
+from .components import component_labels, labelled, with_links
 from .segments import NO_ID, gram_hashes, identified, mixed, split_documents
 
 SHINGLE_WORDS = 5
@@ -44,7 +44,7 @@ PERCENT = 75
 BANDS, BAND_VALUES = 30, 4
 #: Links of sets with fewer shingles do not depend on bands.
 SMALL_SET = 32
-ROUNDS = 2
+ROUNDS = 1
 SLICE_BYTES = 1 << 20
 BASE_SCHEMA = "doc_id long, twin long, row long, n_shingles long, d0 long, d1 long, bands array<long>"
 
@@ -141,22 +141,14 @@ def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` whose sets are similar enough; sizes that rule it out are not compared."""
-    sizes = sets.select("node", F.size("shingles").alias("n"))
-    pairs = pairs.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u")
-    pairs = pairs.join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-    pairs = pairs.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"), F.size("shingles").alias("nu"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"), F.size("shingles").alias("nv"))
+    sizes = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
     both = pairs.join(left, "u").join(right, "v")
-    shared = F.size(F.array_intersect("su", "sv"))
+    shared = F.when(sizes, F.size(F.array_intersect("su", "sv"))).otherwise(0)
     return both.where(similar(shared, F.col("nu"), F.col("nv"), percent)).select("u", "v")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
-    named = labels.select(F.col("node").alias(node), F.col("label").alias(label))
-    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
-
-
 def _prefix_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may be similar: they share a shingle of their prefixes.
 
@@ -194,7 +186,7 @@ def _open_keys(named: DataFrame) -> DataFrame:
 
 def _open_pairs(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Each class outside its bucket's largest component, with one member of that component."""
-    named = written(_labelled(buckets.select("key", "node"), labels, "node", "label"), "open-members")
+    named = written(labelled(buckets.select("key", "node"), labels, "node", "label"), "open-members")
     order = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("draw"), "node")
     parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("some"))
     largest = parts.groupBy("key").agg(F.max(F.struct("n", "label", "some")).alias("major"), F.count(F.lit(1)).alias("k"))
@@ -219,18 +211,16 @@ def _links(buckets: DataFrame, sets: DataFrame, short: DataFrame, percent: int)
         found = written(_confirmed(pairs, sets, percent), "links-round")
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        labels = written(component_labels(links), "labels-round")
+        labels = written(with_links(labels, found), "labels-round")
 
-    named = _labelled(buckets.select("key", "node"), labels, "node", "label")
+    named = labelled(buckets.select("key", "node"), labels, "node", "label")
     open_keys = _open_keys(named)
     in_open = named.join(open_keys, "key", "left_semi").select("node", "label")
-    in_open = in_open.unionByName(_labelled(short, labels, "node", "label").select("node", "label"))
+    in_open = in_open.unionByName(labelled(short, labels, "node", "label").select("node", "label"))
     open_nodes = written(in_open.distinct(), "open-nodes")
     if not open_nodes.isEmpty():
         pairs = written(_prefix_pairs(open_nodes, sets, percent), "pairs-third")
-        links = links.unionByName(_confirmed(pairs, sets, percent))
-        labels = written(component_labels(links), "labels-third")
+        labels = written(with_links(labels, _confirmed(pairs, sets, percent)), "labels-third")
     return labels
 
 
@@ -275,12 +265,12 @@ def near_duplicates(
     # A set similar to one of fewer than SMALL_SET shingles has fewer than SMALL_SET * 100 / percent.
     short = classes.where(F.col("n") * percent < SMALL_SET * 100).select("node")
     compared = buckets.select("node").unionByName(short).distinct()
-    wanted = classes.join(compared, "node", "left_semi").select("node", "doc_id", "twin")
+    wanted = written(classes.join(compared, "node", "left_semi").select("node", "doc_id", "twin"), "compared")
     with small_batches(docs.sparkSession):
         sets = written(_sets_of(rows, wanted, shingle_words), "shingle-sets")
     labels = _links(buckets, sets, short, percent)
 
-    named = _labelled(classes.select("node", "d0", "d1", "doc_id", "row"), labels, "node", "label")
+    named = labelled(classes.select("node", "d0", "d1", "doc_id", "row"), labels, "node", "label")
     named = written(named, "class-labels")
     smallest = named.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     of_class = written(named.join(written(smallest, "component-ids"), "label").select("d0", "d1", "first"), "class-components")

@@ -4,7 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallywright.llm import fm_index, induced, minhash, segments, suffix_dedup
+from tallywright import session
+from tallywright.llm import components, fm_index, induced, minhash, segments, suffix_dedup
 from tallywright.llm.exact_dedup import exact_dedup, keep_first
 
 WORDS = "red green blue one two three sun moon sea sky tree bird fish rock sand wind".split()
@@ -280,3 +281,31 @@ def test_anchors_do_not_depend_on_the_slice(monkeypatch):
         return [x[last].tolist() for x in (found.route, found.start, found.windows)]
 
     assert routes(own, [0], [300]) == routes(np.concatenate([noise, own]), [0, 200_000], [200_000, 200_300])
+
+
+def _reachable(links):
+    least = {}
+
+    def find(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    return {x: find(x) for x in least if find(x) != x}
+
+
+def test_components_take_no_round_for_stars_and_look_at_new_links_only(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name: tables.append(session.written(df, name)) or tables[-1])
+    stars = [(i % 7, 10 + i) for i in range(90)] * 2 + [(3, 3)]
+    labels = session.written(components.component_labels(spark.createDataFrame(stars, "u long, v long")))
+    assert {tuple(r) for r in labels.collect()} == set(_reachable(stars).items()) and labels.count() == 90
+    assert len(tables) == 1  # the links; every further table is a round
+    path = [(i, i + 1) for i in range(200, 240)] + [(500, i) for i in range(300, 320)] + [(96, 240), (97, 500), (1, 1)]
+    more = components.with_links(labels, spark.createDataFrame(path, "u long, v long"))
+    every = _reachable(stars + path)
+    assert {tuple(r) for r in more.collect()} == set(every.items()) and more.count() == len(every)
+    assert not tables[1].where("u BETWEEN 10 AND 95 OR v BETWEEN 10 AND 95").count()
