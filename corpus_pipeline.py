@@ -9,7 +9,7 @@ from tallywright.llm import bpe, exact_dedup, minhash, mixing, quality
 from tallywright.session import small_batches, written
 
 #: Words that a worker remembers in a task of the last stage; its executor still holds what the stages before took.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 50_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

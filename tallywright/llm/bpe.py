@@ -100,7 +100,7 @@ class Bpe:
         key = (left, right)
         found = self.stable_pairs.get(key)
         if found is None:
-            if len(self.stable_pairs) >= MEMORY_WORDS:
+            if len(self.stable_pairs) >= self.words.most:
                 self.stable_pairs.clear()
             found = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
             self.stable_pairs[key] = found

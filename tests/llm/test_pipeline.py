@@ -10,7 +10,7 @@ from oracle import connect
 from test_dedup import brute_components
 
 import corpus_pipeline
-from tallywright.llm import mixing, quality
+from tallywright.llm import bpe, mixing, quality
 
 
 def expected_rows(sf_dir):
@@ -48,3 +48,11 @@ def test_stages_take_empty_and_odd_documents(spark, sf_dir, make):
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
             assert out.count() <= 3 * most
+
+
+def test_the_last_stage_remembers_few_words_and_pairs():
+    small = bpe.Bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, memory_words=5)
+    text = " ".join(f"word{i % 37}x{i} Grüße{i}" for i in range(300))
+    assert small.encode(text) == bpe.Bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(text)
+    assert len(small.stable_pairs) <= 5 and len(small.words) + len(small.words.older) <= 10
+    assert corpus_pipeline.MEMORY_WORDS <= 50_000
