@@ -1,5 +1,6 @@
 """Distributed linear fits against plain dense ones."""
 
+import inspect
 import math
 from collections import Counter
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators import halving, linear
 from tallywright.operators.classifiers import grid_cv
+from tallywright.plans import model_queries
 
 WORDS = [f"w{i}x" for i in range(14)]
 
@@ -154,3 +156,20 @@ def test_halving_equals_plain_halving(spark, rows):
         assert {r["draw"]: r["score"] for r in mine} == score
         assert {r["draw"] for r in mine if r["survives"]} == set(left)
     assert all(0.05 <= r["C"] <= 50 and r["max_n"] in (1, 2) for r in halving.linear_draws(spark.range(40), "id").collect())
+
+
+def test_full_report_searches_words_and_pairs(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"w{i % 3}x", "ab"[i % 2], ("train", "holdout")[i % 5 == 0]) for i in range(30)], "doc_id long, text string, lang string, part string")
+    records = spark.createDataFrame([("m", "a", "a")], "modelo_id string, classificacao_real string, classificacao_limpa string")
+    asked = []
+
+    def search(*args, **kwargs):
+        asked.append(tuple(inspect.signature(grid_cv).bind(*args, **kwargs).arguments.get("max_ngrams", (1, 2))))
+        return spark.createDataFrame([(2, 1.0)], "max_n int, C double")
+
+    monkeypatch.setattr(model_queries, "_parts", lambda *a: (rows.where("part = 'train'"), rows.where("part = 'holdout'")))
+    monkeypatch.setattr(model_queries.classifiers, "grid_cv", search)
+    monkeypatch.setattr(model_queries.classifiers, "fit_predict", lambda *a, **k: records)
+    monkeypatch.setattr(model_queries.bayes, "nb_grid_cv", lambda *a, **k: spark.createDataFrame([(1, 0.5, 0.9)], "max_n int, alpha double, mean_score double"))
+    assert model_queries.holdout_report_full(spark, "").count() > 0
+    assert asked == [(1, 2), (1, 2)]
