@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import counted, ngram_tokens
-from . import linear
+from . import docblocks
 from .sizing import SMALL_ROWS
 
 #: Rows of a block that are made at once.
@@ -71,27 +71,27 @@ def tfidf(
 ) -> DataFrame:
     """(document, term, tf, df, weight) for every term of every document.
 
-    Documents are held in the blocks of ``linear.py``, of up to ``max_rows``
+    Documents are held in the blocks of ``docblocks.py``, of up to ``max_rows``
     documents: a term is exchanged once for each block, for its document
     frequency, not once for each document, and a document's norm is added up
     inside its block.
     """
     if norm not in (None, "l1", "l2"):
         raise ValueError(f"unknown norm {norm!r}")
-    weighting = linear.Weighting(min_df, max_df, binary, use_idf, norm, tuple(stop_words))
+    weighting = docblocks.Weighting(min_df, max_df, binary, use_idf, norm, tuple(stop_words))
     rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.lit("all").alias("label"), F.lit(1).alias("fold"))
     # No document is of fold 0, so that all count.
-    problem = [linear.Problem(max_n, 0, 1.0)]
-    plan, _, blocks = linear.prepare(rows, "doc", "text", "label", "fold", problem, "softmax", weighting, block_rows=max_rows)
+    problem = [docblocks.Problem(max_n, 0, 1.0)]
+    plan, _, blocks = docblocks.in_blocks(rows, "doc", "text", "label", "fold", problem, "softmax", weighting, block_rows=max_rows)
     found = blocks.select("payload", "names").mapInArrow(_weights(plan), "doc string, term string, tf long, df long, weight double")
     return found.select(F.col("doc").cast(df.schema[doc_id].dataType).alias(doc_id), "term", "tf", "df", "weight")
 
 
-def _weights(plan: linear.Plan):
+def _weights(plan: docblocks.Plan):
     """Rows of a block's documents and terms."""
 
     def rows_of(payload: bytes, names: bytes) -> Iterator[pa.RecordBatch]:
-        block, kept = linear.Block(payload, plan), pickle.loads(names)
+        block, kept = docblocks.Block(payload, plan), pickle.loads(names)
         docs, n, norm = pa.array(kept["docs"], pa.string()), len(block.y), plan.weighting.norm
         scales = [plan.scale(section["df"], section["words"])[:, 0] for section in block.sections]
         sizes = np.zeros(n)
@@ -101,7 +101,7 @@ def _weights(plan: linear.Plan):
             sizes += np.bincount(owner, value * value if norm == "l2" else value, n)
         sizes = np.sqrt(sizes) if norm == "l2" else sizes if norm else np.ones(n)
         for section, scale, listed in zip(block.sections, scales, kept["terms"]):
-            terms = linear._unpacked(listed).column("name").cast(pa.string()).combine_chunks()
+            terms = docblocks._unpacked(listed).column("name").cast(pa.string()).combine_chunks()
             owner = np.repeat(np.arange(n), section["sizes"])
             for low in range(0, len(owner), ROWS_AT_ONCE):
                 some, index, tf = (x[low : low + ROWS_AT_ONCE] for x in (owner, section["index"], section["tf"]))

@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallywright.operators import bayes, features, ledger, linear
+from tallywright.operators import bayes, features, ledger, linear, parts
 from tallywright.session import CLEANUP, written
 
 
@@ -76,3 +76,34 @@ def test_tfidf_moves_no_row_for_each_word_of_a_document(spark):
         size = np.sqrt(sum(r * r for r in raw.values()))
         wanted |= {(i, t): (c[t], dfs[t], round(raw[t] / size, 9)) for t in c}
     assert {(r["id"], r["term"]): (r["tf"], r["df"], round(r["weight"], 9)) for r in found.collect()} == wanted
+
+
+def test_fits_in_groups_equal_fits_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linear, "scratch_path", lambda s, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    problems = [linear.Problem(n, f, 2.0) for n in (1, 2) for f in (0, 1)]
+    plan, labels, held = linear.prepare(documents(spark), "id", "text", "label", "fold", problems, "squared_hinge", linear.Weighting(), names=False)
+    one, many = (linear.fit(plan, labels, held, tol=1e-2, cells=cells) for cells in (10**6, 240 * 3))
+    assert len(one.groups) == 1 and len(many.groups) == 4 and one.converged.all() and many.converged.all()
+    found = [sorted(map(tuple, linear.predictions(f).collect())) for f in (one, many)]
+    assert found[0] == found[1] and len(found[0]) == 4 * 60
+    # Of each group the last position is left.
+    assert one.steps > 2 and all(len(list(folder.iterdir())) == 1 for folder in tmp_path.iterdir())
+
+
+def test_parts_exchange_numbers_of_documents_only(spark):
+    sent = []
+    for n_words in (20, 2000):
+        draw = np.random.default_rng(1)
+        made = [(i, " ".join(f"w{w}x" for w in draw.integers(0, n_words, 60)), "ab"[i % 2], 1) for i in range(50)]
+        df = spark.createDataFrame(made, "id long, text string, label string, fold int").coalesce(2)
+        plan, _, held = linear.prepare(df, "id", "text", "label", "fold", [linear.Problem(2, 0, 1.0)], "softmax", linear.Weighting())
+        tasks, named = parts.to_tasks(held, "payload")
+        # Two labels: the second one's numbers follow from the first one's.
+        columns = linear.sent_columns(plan, np.arange(2))
+        ones = held.docs.select("block").collect()
+        sizes = dict(held.sizes)
+        numbers = spark.createDataFrame([(r["block"], np.ones(sizes[r["block"]]).tobytes()) for r in ones], "block long, data binary")
+        pairs = tasks.groupBy("bundle").cogroup(parts.to_bundles(numbers, named).groupBy("bundle"))
+        found = pairs.applyInArrow(parts.products(plan, columns, held.sizes), "block long, data binary").collect()
+        sent.append({len(r["data"]) // sizes[r["block"]] for r in found})
+    assert sent == [{8}, {8}]

@@ -173,3 +173,11 @@ def test_full_report_searches_words_and_pairs(spark, monkeypatch):
     monkeypatch.setattr(model_queries.bayes, "nb_grid_cv", lambda *a, **k: spark.createDataFrame([(1, 0.5, 0.9)], "max_n int, alpha double, mean_score double"))
     assert model_queries.holdout_report_full(spark, "").count() > 0
     assert asked == [(1, 2), (1, 2)]
+
+
+def test_a_step_goes_back_until_it_is_short_enough(spark, rows):
+    df = spark.createDataFrame([r for r in rows if r[2]], "id long, text string, label string, fold int")
+    plan, labels, blocks = linear.prepare(df, "id", "text", "label", "fold", [linear.Problem(1, 1, 2.0)], "squared_hinge", linear.Weighting())
+    fitted = linear.fit(plan, labels, blocks)
+    # Going back twice went forth again, and the fit of the rare label took all 200 steps.
+    assert fitted.converged.all() and fitted.steps < 40
