@@ -107,3 +107,26 @@ def test_parts_exchange_numbers_of_documents_only(spark):
         found = pairs.applyInArrow(parts.products(plan, columns, held.sizes), "block long, data binary").collect()
         sent.append({len(r["data"]) // sizes[r["block"]] for r in found})
     assert sent == [{8}, {8}]
+
+
+def test_prompts_are_stored_for_some_batches_at_a_time(spark, tmp_path, monkeypatch):
+    made = [(i, "m", f"prompt {i % 60}") for i in range(120)] + [(200, None, "p"), (201, "m", None), (202, "m", None)]
+    df = spark.createDataFrame(made, "id long, model_id string, prompt string")
+    monkeypatch.setattr(ledger, "WINDOW_CHARS", 100)
+    monkeypatch.setattr(ledger, "scratch_path", lambda s, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    folders, most, commit = [], [], ledger._commit
+
+    def watched(spark, table, path):
+        now = [p for p in tmp_path.iterdir() if p.name.startswith("call-batches")]
+        folders.extend(p.name for p in now if p.name not in folders)
+        most.append(len(now))
+        commit(spark, table, path)
+
+    monkeypatch.setattr(ledger, "_commit", watched)
+    done = ledger.score_once(df, lambda model, prompt, attempt: f"{model} {prompt}", str(tmp_path / "ledger"), base_backoff=0.0, calls_in_a_batch=7)
+    assert done.count() == 123 and done.where("raw_text = concat(coalesce(model_id, 'None'), ' ', coalesce(prompt, 'None'))").count() == 123
+    assert ledger.answered(spark, str(tmp_path / "ledger")).count() == 62
+    # Never two windows at once, and none is left.
+    assert len(most) > len(folders) - 1 and set(most) == {1} and not [p for p in tmp_path.iterdir() if p.name.startswith("call-batches")]
+    again = ledger.score_once(df.unionByName(df.limit(1).withColumn("prompt", F.lit("new"))), lambda *a: "second", str(tmp_path / "ledger"), base_backoff=0.0)
+    assert again.where("raw_text = 'second'").count() == 1 and again.count() == 124
